@@ -11,6 +11,7 @@ from loomrec.llm.cooccurrence import cooccurring_items
 from loomrec.llm.group_topn import top_n_of_sums
 from loomrec.llm.heavy_hitters import frequent_values
 from loomrec.llm.mixing import mix_sources, short_sources
+from loomrec.llm.nn_graph import neighbour_graphs, similar_pairs, valid_vectors
 from loomrec.llm.packing import pack_documents
 from loomrec.llm.set_join import similar_sets
 from loomrec.llm.splitting import split_oversized
@@ -48,6 +49,21 @@ def p3_best_items(spark: SparkSession, sf: str) -> DataFrame:
     return _best_items(spark, sf).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _factor_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return {side: valid_vectors(table(spark, sf, f"{side}_factors"), "id", "factors", 32) for side in ("item", "user")}
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    tables = _factor_tables(spark, sf)
+    graph = neighbour_graphs(tables, 10, least=0.95)
+    return similar_pairs(tables, graph, 0.95).select(F.col("part").alias("side"), "id_a", "id_b")
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    graph = neighbour_graphs(_factor_tables(spark, sf), 10)
+    return graph.select(F.col("part").alias("side"), "id", "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
+
+
 def _user_sets(spark: SparkSession, sf: str):
     return similar_sets(table(spark, sf, "triplets"), "user_id", "item_id", threshold=0.7, min_size=10)
 
@@ -94,8 +110,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p2_found, p2_top, p3_found, p3_best_items, p6_found, p6_pairs, p7_pack, p8_found, p8_report,
-            p8_mix, p9_found, p9_pieces,
+            p1_found, p1_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p6_found, p6_pairs, p7_pack,
+            p8_found, p8_report, p8_mix, p9_found, p9_pieces,
         )
     }
 
@@ -118,6 +134,16 @@ WITH k AS (SELECT DISTINCT user_id, item_id, value, rated_at FROM triplets
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s)
 """
 
+_NEAR = """
+SELECT '{side}' AS side, id_a, id_b FROM (
+WITH g AS (SELECT id, min(factors) AS v FROM {side}_factors WHERE len(factors) = 32
+           AND len(list_filter(factors, lambda e: e IS NOT NULL AND isfinite(e))) = 32
+           AND len(list_filter(factors, lambda e: e <> 0)) > 0 GROUP BY id),
+ s AS (SELECT x.id AS p, y.id AS q, list_cosine_similarity(x.v, y.v) AS s FROM g x, g y WHERE x.id <> y.id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, q) AS k FROM s)
+SELECT DISTINCT least(p, q) AS id_a, greatest(p, q) AS id_b FROM r WHERE k <= 10 AND s >= 0.95)
+"""
+
 _SETS = """
 WITH d AS (SELECT DISTINCT user_id, item_id FROM triplets WHERE user_id IS NOT NULL AND item_id IS NOT NULL),
  n AS (SELECT user_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 10),
@@ -138,6 +164,7 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY n DESC, item_id LIMIT 1000""",
         "p3_found": f"{_SUMS} SELECT user_id, item_id FROM r WHERE rank <= 5",
         "p3_best_items": f"{_SUMS} SELECT user_id, item_id, score, rank FROM r WHERE rank <= 5",
+        "p4_found": " UNION ALL ".join(_NEAR.format(side=side) for side in ("item", "user")),
         "p6_found": f"{_SETS} SELECT a AS user_a, b AS user_b FROM j WHERE jaccard >= 0.7 - 1e-12",
         "p6_pairs": f"{_SETS} SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.7 - 1e-12",
     }
