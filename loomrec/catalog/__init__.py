@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomrec.catalog import skew
+from loomrec.catalog import similarity, skew, structure
 
-_MODULES = (skew,)
+_MODULES = (structure, similarity, skew)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, folder):
-    return skew.p5_found(spark, folder)
+    return similarity.recommend_itemknn(spark, folder)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomrec.operators.matrix import seeded_normals
 from loomrec.operators.normal_equations import Table, _batch, _matrix, fits_broadcast, segments, sums_by_row
 from loomrec.plans.base import SoftALS
-from loomrec.plans.factorization import ids_of
+from loomrec.plans.factorization import ids_of, start_table
 from loomrec.scratch import stow
 from loomrec.sources.triplets import Interactions, require_dimensions, require_finite
 
@@ -45,7 +45,7 @@ class _Completion(SoftALS):
     STATE = ("user_factors", "item_factors", "singular")
     impute = False
 
-    def _fit(self, matrix: Interactions, *, run) -> dict:
+    def _fit(self, matrix: Interactions, user_init: DataFrame | None = None, *, run) -> dict:
         name = type(self).__name__
         require_dimensions(matrix, name)
         require_finite(matrix, name)
@@ -57,7 +57,8 @@ class _Completion(SoftALS):
             raise MemoryError(f"{name}: the factors of {len(users)} users and {len(items)} items exceed what may be broadcast")
         by_user = segments(matrix.x, "user_id", "item_id", matrix.users)
         by_item = segments(matrix.x, "item_id", "user_id", matrix.items)
-        u = Table(users, np.linalg.qr(seeded_normals(users, rank, 1.0, self.seed))[0])
+        first = seeded_normals(users, rank, 1.0, self.seed) if user_init is None else start_table(users, user_init, rank, self.seed).factors
+        u = Table(users, np.linalg.qr(first)[0])
         v, d = Table(items, np.zeros((len(items), rank))), np.ones(rank)
         lam, before = self.reg, None
         for step in range(1, self.max_iter + 1):
