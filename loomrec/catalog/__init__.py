@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomrec.catalog import similarity, skew, structure
+from loomrec.catalog import rating, similarity, skew, structure
 
-_MODULES = (structure, similarity, skew)
+_MODULES = (structure, similarity, rating, skew)
 
 
 def queries():

@@ -176,9 +176,9 @@ def metrics_mean(spark, sf):
     return _evaluated(spark, sf).agg(*(F.round(F.avg(n), 9).alias(n) for n in ("ap", "ndcg", "precision", "recall")))
 
 
-@query(f"""{_SCORED}{_RANKED}, p AS (SELECT i.item_id, coalesce(sum(x.value), 0) AS s FROM items i LEFT JOIN x USING (item_id) GROUP BY 1),
-  c AS (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY round(s, 9) DESC, p.item_id) AS rank
-  FROM users u CROSS JOIN p ANTI JOIN x ON x.user_id = u.user_id AND x.item_id = p.item_id),
+@query(f"""{_SCORED}{_RANKED}, pp AS (SELECT i.item_id, coalesce(sum(x.value), 0) AS s FROM items i LEFT JOIN x USING (item_id) GROUP BY 1),
+  c AS (SELECT u.user_id, pp.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY round(pp.s, 9) DESC, pp.item_id) AS rank
+  FROM users u CROSS JOIN pp ANTI JOIN x ON x.user_id = u.user_id AND x.item_id = pp.item_id),
   o AS (SELECT r.user_id, count(c.item_id) / 10.0 AS o FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.item_id = r.item_id AND c.rank <= 10 WHERE r.rank <= 10 GROUP BY 1)
   SELECT round(avg(o), 9) AS overlap FROM o""")
 def overlap_of_lists(spark, sf):
@@ -229,4 +229,4 @@ def _linear(name, model):
 
 _linear("shallow_autoencoder", lambda: ShallowAutoencoder(l2=50.0))
 _linear("sparse_linear", lambda: SparseLinearModel(l1=1.0, l2=10.0))
-_linear("sparse_linear_admm", lambda: SparseLinearADMM(l1=1.0))
+_linear("sparse_linear_admm", lambda: SparseLinearADMM(l1=0.01))

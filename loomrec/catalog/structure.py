@@ -122,7 +122,7 @@ def sampled_product(spark, sf):
     return got.withColumn("approx", F.round("approx", 6))
 
 
-@query(f"""WITH {X} SELECT user_id, item_id, round(1 / (1 + exp(-value)), 9) AS sigmoid, round(ln(1 + exp(value)), 9) AS log1pexp,
+@query(f"""WITH {X} SELECT user_id, item_id, round(1 / (1 + exp(-value)), 9) AS sigmoid, round(CASE WHEN value > 33.3 THEN value ELSE ln(1 + exp(least(value, 33.3))) END, 9) AS log1pexp,
     round(1 / (abs(value) + 1 + 1e-12), 9) AS inverse, round(sign(value) * greatest(abs(value) - 1.5, 0), 9) AS soft,
     round(value, 9) AS identity, round(exp(value / 100), 9) AS poisson FROM x""")
 def scalar_functions(spark, sf):

@@ -299,6 +299,6 @@ class SparseLinearADMM(_ByWeights):
             u += b - z
             primal = np.linalg.norm(b - z) / (np.linalg.norm(b) + 1e-12)
             dual = np.linalg.norm(z - before) / (np.linalg.norm(z) + 1e-12)
-            if run.epoch(step, float(primal)) or (primal < self.tol and dual < self.tol):
+            if run.epoch(step, None) or (primal < self.tol and dual < self.tol):
                 break
         return {"weights": stow(edge_table(matrix.spark, ids, z))}
