@@ -27,20 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def stow(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
+def stow(df: DataFrame, *, compression: str = "zstd", buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and return a reader of it.
 
     The plan behind the result is a file scan: its lineage is cut, it is computed once however often it is read, and losing
-    an executor loses nothing.  Folders are deleted when the driver's process ends, or earlier by :func:`discard`.
+    an executor loses nothing.  With ``buckets`` (a number and a column) the table is bucketed, so that grouping or joining it by
+    that column needs no shuffle of it.  Folders are deleted when the driver's process ends, or earlier by :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stow-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    writer = df.write.option("compression", compression)
+    if buckets:
+        name = f"loomrec_{uuid.uuid4().hex}"
+        writer.format("parquet").bucketBy(*buckets).option("path", path).saveAsTable(name)
+        out = spark.table(name)
+        out._stowed_as = name
+    else:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
     out._stowed_at = path
     return out
 
@@ -49,6 +54,8 @@ def discard(df: DataFrame) -> None:
     """Delete a stowed table that nothing reads any more; no effect on other DataFrames."""
     path = getattr(df, "_stowed_at", None)
     if path:
+        if hasattr(df, "_stowed_as"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._stowed_as}")
         _delete(df.sparkSession, path)
         _written[:] = [x for x in _written if x[1] != path]
 
