@@ -342,22 +342,47 @@ class Descent:
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, dimension: int | None = None) -> DataFrame:
     """``id, v``: one vector an id, with only finite entries, not all zero and of the given length (if given).
 
-    Of several vectors of one id the smallest array by order of its entries is taken.  Null ids, null arrays and null entries
-    don't count.
+    Of several valid vectors of one id the smallest array by order of its entries is taken.  Null ids, null arrays and null
+    entries don't count.
     """
     v = F.col(vector_col).cast("array<double>")
-    good = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists(v, lambda e: e != 0)
+    least, most = F.array_min("v"), F.array_max("v")  # NaN is above infinity in Spark's order
+    good = (least > float("-inf")) & (most < float("inf")) & ((least != 0) | (most != 0)) & ~F.exists("v", lambda e: e.isNull())
     if dimension:
-        good = good & (F.size(v) == dimension)
-    kept = rows.filter(F.col(id_col).isNotNull() & v.isNotNull() & good)
-    return kept.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
-
-
-def _direction(v):
-    """Two hashes of the direction; equal for copies, also for scaled ones."""
-    length = norm(v)
-    unit = F.transform(v, lambda e: F.round(e / length, 9) + F.lit(0.0))
-    return F.xxhash64(unit), F.xxhash64(F.lit(11), unit)
+        good = good & (F.size("v") == dimension)
+    kept = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & good)
+    several = stow(rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    repeats = maybe_broadcast(several, several.count(), 40)
+    once = kept.join(repeats, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return kept.join(repeats, "id", "left_anti").union(once)
+
+
+def unit_batches(batches):
+    """Arrow kernel: unit vectors in half precision and two hashes of the direction, equal for copies, also for scaled ones."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        off = batch.column("v").offsets.to_numpy()
+        flat, width = batch.column("v").flatten().to_numpy(), np.diff(off)
+        raw, h1, h2 = [None] * n, np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            x = flat[(off[rows] - off[0])[:, None] + np.arange(w)]
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # no square under- or overflows
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            whole = np.rint(x * 1e9).astype(np.int64).view(np.uint64)
+            with np.errstate(over="ignore"):
+                for h, salt in ((h1, 0x9E3779B97F4A7C15), (h2, 0xC2B2AE3D27D4EB4F)):
+                    z = (whole + np.arange(1, w + 1, dtype=np.uint64) * np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+                    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                    h[rows] = (z ^ (z >> np.uint64(32))).sum(axis=1).view(np.int64)
+            data, size = x.astype(np.float16).tobytes(), 2 * int(w)
+            for at, row in enumerate(rows):
+                raw[row] = data[at * size : (at + 1) * size]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("part"), batch.column("id"), pa.array(raw, pa.binary()), pa.array(h1), pa.array(h2)], names=["part", "id", "x", "h1", "h2"]
+        )
 
 
 def _release() -> None:
@@ -400,12 +425,9 @@ def neighbour_graphs(
     among anyone's first ``k``.  The others get the ``k`` smallest ids of their own copies.  With ``least``, only neighbours of
     about that similarity or more are listed.
     """
-    parts = []
-    for p, df in enumerate(tables.values()):
-        h1, h2 = _direction(F.col("v"))
-        unit = F.transform("v", lambda e: (e / norm("v")).cast("float"))
-        parts.append(df.select(F.lit(p).alias("part"), "id", unit.alias("v"), h1.alias("h1"), h2.alias("h2")))
-    points = stow(reduce(DataFrame.union, parts))
+    parts = [df.select(F.lit(p).alias("part"), "id", "v") for p, df in enumerate(tables.values())]
+    units = reduce(DataFrame.union, parts).mapInArrow(unit_batches, "part int, id long, x binary, h1 long, h2 long")
+    points = stow(units, compression="uncompressed")
     copied = points.groupBy("part", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).drop("n")
     shadows, core = None, points
     if copied.limit(1).count():
@@ -421,36 +443,32 @@ def neighbour_graphs(
         blocks = -(-counts[p] // block_rows)
         chosen = core.filter(F.col("part") == p).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
         chosen = chosen.limit(max(sample_rows, SAMPLE_PER_BLOCK * blocks)) if blocks > 1 else chosen.limit(1)
-        sampled = np.asarray([r["v"] for r in chosen.select("v").collect()], np.float64)
+        sampled = np.stack([np.frombuffer(r["x"], np.float16) for r in chosen.select("x").collect()]).astype(np.float64)
         trees_of[p] = [fit_partition(sampled, blocks, [seed, p, r]) for r in range(turns + 1)]
         first_block[p], total = total, total + blocks
 
     def place(batches):
-        """Home block and turned blocks of each vector, with its unit vector in half precision."""
+        """Home block and turned blocks of each vector."""
         for batch in batches:
-            part, vectors = batch.column("part").to_numpy(), batch.column("v")
+            part = batch.column("part").to_numpy()
             if not len(part):
                 continue
-            off = vectors.offsets.to_numpy()
-            flat, width = vectors.flatten().to_numpy(), np.diff(off)
+            raw = batch.column("x").to_pylist()
             home, turned = np.zeros(len(part), np.int32), np.zeros((len(part), turns), np.int32)
-            unit = [None] * len(part)
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
-                x = flat[(off[rows] - off[0])[:, None] + np.arange(width[rows[0]])]
+                x = np.frombuffer(b"".join(raw[r] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
                 home[rows] = first_block[p] + leaf_of(trees_of[p][0], x)
                 for r in range(turns):
                     turned[rows, r] = (r + 1) * total + first_block[p] + leaf_of(trees_of[p][r + 1], x)
-                raw, size = x.astype(np.float16).tobytes(), x.shape[1] * 2
-                for at, row in enumerate(rows):
-                    unit[row] = raw[at * size : (at + 1) * size]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(home), batch.column("id"), pa.array(unit, pa.binary()), pa.array([t.tobytes() for t in turned], pa.binary())],
+                [pa.array(home), batch.column("id"), batch.column("x"), pa.array([t.tobytes() for t in turned], pa.binary())],
                 names=["block", "id", "x", "turned"],
             )
 
-    placed = stow(core.select("part", "id", "v").mapInArrow(place, "block int, id long, x binary, turned binary"))
-    discard(points) if shadows is None else None
+    placed = stow(core.select("part", "id", "x").mapInArrow(place, "block int, id long, x binary, turned binary"), compression="uncompressed")
+    if shadows is None:
+        discard(points)
     largest = placed.groupBy("block").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     bits = max(1, int(largest - 1).bit_length())
     descent = Descent(keep, sample, leaf, trees, seed, bits, (total + 1) << bits > 1 << 32)
@@ -462,38 +480,36 @@ def neighbour_graphs(
         turned = np.frombuffer(b"".join(table["turned"].to_pylist()), np.int32).reshape(len(ids), -1)
         return descent.begin(table["block"][0].as_py(), ids, x, turned)
 
-    def step(held: DataFrame, kernel) -> DataFrame:
-        """One Spark shuffle by block: a block's state meets the messages to it."""
+    def step(held: DataFrame, messages: DataFrame, kernel) -> DataFrame:
+        """A block's state, read in place from its bucket, meets the messages to it, which are shuffled by block."""
 
-        def together(table: pa.Table) -> pa.Table:
-            kinds = np.asarray(table["kind"].to_pylist())
-            return kernel(table.filter(pa.array(kinds == "state")), table.filter(pa.array(kinds != "state")))
+        def together(key, state: pa.Table, mail: pa.Table) -> pa.Table:
+            return kernel(state, mail)
 
-        return stow(held.groupBy("dest").applyInArrow(together, ROW))
+        pairs = held.filter("kind = 'state'").groupBy("dest").cogroup(messages.groupBy("dest"))
+        return keep_blocks(pairs.applyInArrow(together, ROW))
 
-    state = stow(placed.groupBy("block").applyInArrow(begin, ROW))
+    def keep_blocks(df: DataFrame) -> DataFrame:
+        return stow(df, compression="uncompressed", buckets=(max(1, total), "dest"))
+
+    held = keep_blocks(placed.groupBy("block").applyInArrow(begin, ROW))
     discard(placed)
-    if turns:
-        found = stow(state.filter("kind = 'turn'").groupBy("dest").applyInArrow(lambda table: descent.turn(table), ROW))
-        held = state.filter("kind = 'state'").union(found)
-    else:
-        found, held = None, state
+    turned = held.filter("kind = 'turn'").groupBy("dest").applyInArrow(lambda table: descent.turn(table), ROW)
+    mail = stow(turned, compression="uncompressed") if turns else held.filter("kind = 'found'")
     entries = sum(counts.values()) * keep
     for r in range(max(1, rounds) + 1):
-        updated = step(held, lambda s, m: descent.update(s, m))
-        discard(state)
-        if found is not None:
-            discard(found)
-            found = None
+        updated = step(held, mail, lambda s, m: descent.update(s, m))
+        discard(held)
+        discard(mail)
         _release()
-        state = updated
         moved = updated.filter("kind = 'state'").agg(F.sum("moved")).first()[0] or 0
         if r == rounds or moved <= stop_share * entries:
             break
-        held = step(updated, lambda s, m: descent.join(s, m))
+        held = step(updated, updated.filter("kind = 'push'"), lambda s, m: descent.join(s, m))
+        mail = held.filter("kind = 'found'")
         discard(updated)
         _release()
-        state = held
+    state = updated
 
     def listed(batches):
         for batch in batches:
