@@ -111,6 +111,29 @@ def above(q: np.ndarray) -> np.ndarray:
     return ((q.astype(np.float32) + 0.5) / STEPS - 1).astype(np.float32)
 
 
+def largest(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of each row, in no order.
+
+    A wide row is first reduced to the maxima of slices laid over each other: the ``k`` largest lie in the ``k`` slots of
+    largest maximum, so only those are looked into.
+    """
+    n, width = s.shape
+    layers = 16
+    slots = width // layers
+    if slots < 2 * k:
+        return np.argpartition(s, width - k, axis=1)[:, width - k :]
+    top = s[:, :slots].copy()
+    for layer in range(1, layers):
+        np.maximum(top, s[:, layer * slots : (layer + 1) * slots], out=top)
+    chosen = np.argpartition(top, slots - k, axis=1)[:, slots - k :]
+    places = (chosen[:, :, None] + np.arange(layers) * slots).reshape(n, -1)
+    if width > layers * slots:
+        rest = np.broadcast_to(np.arange(layers * slots, width), (n, width - layers * slots))
+        places = np.concatenate([places, rest], axis=1)
+    near = np.take_along_axis(s, places, 1)
+    return np.take_along_axis(places, np.argpartition(near, places.shape[1] - k, axis=1)[:, places.shape[1] - k :], 1)
+
+
 def leaf_lists(x: np.ndarray, k: int, leaf: int, trees: int, rng) -> tuple[np.ndarray, np.ndarray]:
     """For each row the ``k`` most similar rows within its leaf, over several random trees: rows and similarities, 2-d, with
     repeats between trees and -1 where there are fewer."""
@@ -121,26 +144,43 @@ def leaf_lists(x: np.ndarray, k: int, leaf: int, trees: int, rng) -> tuple[np.nd
             if c < 1:
                 continue
             y = np.ascontiguousarray(x[rows].T)
-            for lo in range(0, len(rows), 512):
-                part = rows[lo : lo + 512]
-                s = x[part] @ y
+            held = np.empty((256, len(rows)), np.float32)
+            for lo in range(0, len(rows), 256):
+                part = rows[lo : lo + 256]
+                s = np.matmul(x[part], y, out=held[: len(part)])
                 s[np.arange(len(part)), lo + np.arange(len(part))] = -3.0
-                at = np.argpartition(s, len(rows) - c, axis=1)[:, len(rows) - c :]
+                at = largest(s, c)
                 near[part, t * k : t * k + c] = rows[at]
                 sims[part, t * k : t * k + c] = np.take_along_axis(s, at, 1)
     return near, sims
 
 
+def ranked_once(place: np.ndarray, code: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by place, falling similarity and code, and the starts of runs of equal (place, code) in it.
+
+    While places have 17 bits, one packed key sorts them with the low bits of the code; equal candidates then come together.
+    """
+    fall = 65_535 - q.astype(np.int64)
+    if len(place) and int(place.max()) < 1 << 17:
+        order = np.argsort((place.astype(np.int64) << 46) | (fall << 30) | (code & code.dtype.type(0x3FFFFFFF)).astype(np.int64))
+    else:
+        order = np.lexsort((code, fall, place))
+    p, c = place[order], code[order]
+    return order, np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])]) if len(p) else np.zeros(0, np.int64)
+
+
 def best_lists(owner, other, q, new, n: int, k: int):
     """The ``k`` best distinct ``other`` of each owner 0..n-1 as arrays (n, k): codes, steps of similarity (0: empty) and flags.
 
-    Best is the larger step; of equal codes the one with a false flag stays.
+    Best is the larger step; a code that came several times is new only if all its copies are.
     """
-    order = np.argsort((owner.astype(np.int64) << 17) | ((65_535 - q.astype(np.int64)) << 1) | new)
-    owner, other, q, new = owner[order], other[order], q[order], new[order]
+    order, runs = ranked_once(owner, other, q)
+    flags_of = np.logical_and.reduceat(new[order], runs) if len(runs) else new[:0]
+    order = order[runs]
+    owner, other, q, new = owner[order], other[order], q[order], flags_of
     start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
-    width = 2 * k
+    width = k + k // 2
     first = rank < width
     owner, rank = owner[first], rank[first]
     empty = np.iinfo(other.dtype).max
@@ -149,7 +189,7 @@ def best_lists(owner, other, q, new, n: int, k: int):
     by_code = np.argsort(codes, axis=1, kind="stable")
     codes, steps, flags = (np.take_along_axis(c, by_code, 1) for c in (codes, steps, flags))
     again = codes[:, 1:] == codes[:, :-1]
-    # Copies of one candidate can differ by a step; an old one anywhere in the run keeps the flag false.
+    # Copies computed in different batches can differ by a step; an old one keeps the flag false.
     flags[:, :-1] &= ~(again & ~flags[:, 1:])
     steps[:, 1:][again] = 0
     by_step = np.argsort(65_535 - steps, axis=1, kind="stable")[:, :k]
@@ -184,12 +224,12 @@ class Descent:
         for h in np.unique(home):
             at = np.flatnonzero(home == h)
             # Only the best of each owner travel: a list has no more room.
-            place, who = self.places(owner[at]), other[at]
-            order = np.argsort((place << 16) | (65_535 - q[at].astype(np.int64)))
-            place = place[order]
+            place, who, steps = self.places(owner[at]), other[at], q[at]
+            order, runs = ranked_once(place, who, steps)  # what several members found counts once
+            place, who, steps = place[order][runs], who[order][runs], steps[order][runs]
             start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             first = np.arange(len(place)) - np.repeat(start, np.diff(np.r_[start, len(place)])) < self.keep
-            place, who, steps = place[first], who[order][first], q[at][order][first]
+            place, who, steps = place[first], who[first], steps[first]
             if h == src:
                 own = (place, who, steps)
             else:
@@ -396,13 +436,13 @@ def neighbour_graphs(
     tables: dict[str, DataFrame],
     k: int = 10,
     *,
-    keep: int = 24,
+    keep: int = 20,
     sample: int = 16,
-    rounds: int = 6,
+    rounds: int = 5,
     stop_share: float = 0.01,
     block_rows: int = BLOCK_ROWS,
     sample_rows: int = SAMPLE_ROWS,
-    leaf: int = 4_096,
+    leaf: int = 16_384,
     trees: int = 2,
     turns: int = 1,
     seed: int = 3,
@@ -480,14 +520,21 @@ def neighbour_graphs(
         turned = np.frombuffer(b"".join(table["turned"].to_pylist()), np.int32).reshape(len(ids), -1)
         return descent.begin(table["block"][0].as_py(), ids, x, turned)
 
-    def step(held: DataFrame, messages: DataFrame, kernel) -> DataFrame:
-        """A block's state, read in place from its bucket, meets the messages to it, which are shuffled by block."""
+    def step(held: DataFrame, kernel, sent: DataFrame | None = None) -> DataFrame:
+        """A block's state meets the messages to it: both are read in place from the block's bucket; messages that were
+        ``sent`` in a table of their own are shuffled by block."""
+
+        def together(table: pa.Table) -> pa.Table:
+            state = np.asarray(table["kind"].to_pylist()) == "state"
+            return kernel(table.filter(pa.array(state)), table.filter(pa.array(~state)))
 
-        def together(key, state: pa.Table, mail: pa.Table) -> pa.Table:
-            return kernel(state, mail)
+        def apart(key, state: pa.Table, mail: pa.Table) -> pa.Table:
+            return kernel(state, mail if mail.num_columns else rows_table([]))
 
-        pairs = held.filter("kind = 'state'").groupBy("dest").cogroup(messages.groupBy("dest"))
-        return keep_blocks(pairs.applyInArrow(together, ROW))
+        if sent is None:
+            return keep_blocks(held.groupBy("dest").applyInArrow(together, ROW))
+        pairs = held.filter("kind = 'state'").groupBy("dest").cogroup(sent.groupBy("dest"))
+        return keep_blocks(pairs.applyInArrow(apart, ROW))
 
     def keep_blocks(df: DataFrame) -> DataFrame:
         return stow(df, compression="uncompressed", buckets=(max(1, total), "dest"))
@@ -495,18 +542,19 @@ def neighbour_graphs(
     held = keep_blocks(placed.groupBy("block").applyInArrow(begin, ROW))
     discard(placed)
     turned = held.filter("kind = 'turn'").groupBy("dest").applyInArrow(lambda table: descent.turn(table), ROW)
-    mail = stow(turned, compression="uncompressed") if turns else held.filter("kind = 'found'")
+    sent = stow(turned, compression="uncompressed") if turns else None
     entries = sum(counts.values()) * keep
     for r in range(max(1, rounds) + 1):
-        updated = step(held, mail, lambda s, m: descent.update(s, m))
+        updated = step(held, lambda s, m: descent.update(s, m), sent)
         discard(held)
-        discard(mail)
+        if sent is not None:
+            discard(sent)
+            sent = None
         _release()
         moved = updated.filter("kind = 'state'").agg(F.sum("moved")).first()[0] or 0
         if r == rounds or moved <= stop_share * entries:
             break
-        held = step(updated, updated.filter("kind = 'push'"), lambda s, m: descent.join(s, m))
-        mail = held.filter("kind = 'found'")
+        held = step(updated, lambda s, m: descent.join(s, m))
         discard(updated)
         _release()
     state = updated
