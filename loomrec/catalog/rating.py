@@ -266,7 +266,7 @@ _trained("logistic_mf_recommend", lambda: LogisticMF(rank=8, max_iter=2, n_negat
 def probabilistic_mf_predict(spark, sf):
     m = matrix(spark, sf)
     held = heldout(spark, sf)
-    m = type(m)(m.x.filter("abs(value) <= 50"), m.users, m.items)
+    m = type(m)(m.x.withColumn("value", F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("value")))), m.users, m.items)
     return ProbabilisticMF(rank=4, max_iter=2).fit(m).predict(held.select("user_id", "item_id"))
 
 

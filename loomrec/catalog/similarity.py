@@ -98,6 +98,13 @@ def recommend_itemknn(spark, sf):
     return recs.select("user_id", F.col("rank").cast("long").alias("rank"), "item_id")
 
 
+@query(f"{_SCORED}{_RANKED} SELECT user_id, rank, item_id FROM r WHERE rank <= 10")
+def recommend_backfill(spark, sf):
+    m = matrix(spark, sf).settled()
+    recs = ItemKNN(k=20).fit(m).recommend(m, 10, strategy="join")
+    return recs.select("user_id", F.col("rank").cast("long").alias("rank"), "item_id")
+
+
 @query(f"""WITH {X}, p AS (SELECT i.item_id, coalesce(sum(x.value), 0) AS s FROM items i LEFT JOIN x USING (item_id) GROUP BY 1),
   r AS (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY round(s, 9) DESC, p.item_id) AS rank
   FROM users u CROSS JOIN p ANTI JOIN x ON x.user_id = u.user_id AND x.item_id = p.item_id)

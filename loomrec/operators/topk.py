@@ -88,7 +88,7 @@ def _dense_kernel(batches, ids: np.ndarray, table: np.ndarray, bias: np.ndarray
         flat = factors.flatten().to_numpy(zero_copy_only=False).reshape(len(users), -1)
         seen, off = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
         off = off - off[0]
-        out = ([], [], [], [])
+        out = ([], [], [])
         for lo in range(0, len(users), step):
             s = flat[lo : lo + step] @ table.T
             if bias is not None:
@@ -99,16 +99,12 @@ def _dense_kernel(batches, ids: np.ndarray, table: np.ndarray, bias: np.ndarray
             at = np.searchsorted(ids, mine)
             ok = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == mine)
             s[rows[ok], at[ok]] = -np.inf
-            c = min(k, len(ids))
-            least = np.partition(s, len(ids) - c, axis=1)[:, len(ids) - c]
-            for r in range(len(s)):
-                cand = np.flatnonzero(s[r] >= least[r])
-                best = cand[np.lexsort((ids[cand], -s[r][cand]))[:c]]
-                out[0].append(np.full(c, users[lo + r]))
-                out[1].append(ids[best])
-                out[2].append(s[r][best])
+            r, item, score = _best_unseen(s, ids, k)
+            out[0].append(users[lo : lo + step][r])
+            out[1].append(item)
+            out[2].append(score)
         if out[0]:
-            u, i, v = (np.concatenate(c) for c in out[:3])
+            u, i, v = (np.concatenate(c) for c in out)
             hidden = np.isneginf(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(u), pa.array(i), pa.array(np.where(hidden, 0.0, v), mask=hidden), pa.array(hidden)],
@@ -116,6 +112,82 @@ def _dense_kernel(batches, ids: np.ndarray, table: np.ndarray, bias: np.ndarray
             )
 
 
+def _best_unseen(s: np.ndarray, ids: np.ndarray, k: int):
+    """Per row the first ``k`` columns by score, then id: (row, id, score) flattened."""
+    c = min(k, len(ids))
+    least = np.partition(s, len(ids) - c, axis=1)[:, len(ids) - c]
+    rows, at = np.nonzero(s >= least[:, None])
+    v = s[rows, at]
+    order = np.lexsort((ids[at], -v, rows))
+    rows, at, v = rows[order], at[order], v[order]
+    start = np.searchsorted(rows, np.arange(len(s)))
+    keep = np.arange(len(rows)) - start[rows] < c
+    return rows[keep], ids[at[keep]], v[keep]
+
+
+def expected_share(n_edges: int, n_items: int, n_entries: int, n_users: int) -> float:
+    """Share of items a user gets a score for, if entries and weights were spread evenly."""
+    if not n_items or not n_users:
+        return 0.0
+    return 1 - (1 - min(1.0, n_edges / (n_items * n_items))) ** (n_entries / n_users)
+
+
+def recommend_weighted(matrix: Interactions, weights: DataFrame, k: int) -> DataFrame:
+    """:func:`recommend_scored` of :func:`item_scores` in one pass over the users, with the weights broadcast as compressed rows.
+
+    Every user is scored against all items in a buffer of bounded size, so nothing is shuffled but the entries by user; for item
+    universes and weights that fit a worker (see :func:`weights_fit`).
+    """
+    require_k(k)
+    spark = matrix.spark
+    ids = np.sort(matrix.items.select("item_id").toArrow()["item_id"].to_numpy())
+    got = weights.select("src", "dst", "weight").toArrow().sort_by("src")
+    src = np.searchsorted(ids, got["src"].to_numpy())
+    first = np.searchsorted(src, np.arange(len(ids) + 1))
+    held = spark.sparkContext.broadcast((ids, first, np.searchsorted(ids, got["dst"].to_numpy()), got["weight"].to_numpy()))
+    entries = matrix.x.groupBy("user_id").agg(F.collect_list("item_id").alias("i"), F.collect_list("value").alias("v"))
+    none, no_value = F.expr("CAST(array() AS ARRAY<BIGINT>)"), F.expr("CAST(array() AS ARRAY<DOUBLE>)")
+    rows = matrix.users.join(entries, "user_id", "left").select("user_id", F.coalesce("i", none).alias("i"), F.coalesce("v", no_value).alias("v"))
+
+    def kernel(batches):
+        ids, first, dst, w = held.value
+        n = len(ids)
+        step = max(1, SCORE_BUFFER // (8 * max(1, n)))
+        for batch in batches:
+            users = batch.column(0).to_numpy()
+            off = batch.column(1).offsets.to_numpy()
+            off = off - off[0]
+            items = np.searchsorted(ids, batch.column(1).flatten().to_numpy(zero_copy_only=False))
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            for lo in range(0, len(users), step):
+                hi = min(len(users), lo + step)
+                part = slice(off[lo], off[hi])
+                row, i, v = np.repeat(np.arange(hi - lo), np.diff(off[lo : hi + 1])), items[part], values[part]
+                length = first[i + 1] - first[i]
+                e = np.repeat(first[i] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+                flat = np.repeat(row, length) * n + dst[e]
+                s = np.bincount(flat, weights=np.repeat(v, length) * w[e], minlength=(hi - lo) * n).reshape(hi - lo, n)
+                s = np.round(s, DIGITS) + 0.0
+                s[row, i] = -np.inf
+                r, item, score = _best_unseen(s, ids, k)
+                hidden = np.isneginf(score)
+                rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(users[lo:hi][r]), pa.array(rank.astype(np.int32)), pa.array(item), pa.array(np.where(hidden, 0.0, score), mask=hidden)],
+                    names=["user_id", "rank", "item_id", "score"],
+                )
+
+    return rows.mapInArrow(kernel, "user_id long, rank int, item_id long, score double")
+
+
+def weights_fit(n_edges: int, n_items: int, n_entries: int, n_users: int) -> bool:
+    """Whether the broadcast form pays: weights within the bound, a score row that fits a buffer, and either a small universe
+    or more than a tenth of the items scored for a user."""
+    if n_edges * 16 > BROADCAST_BYTES or n_items * 8 > SCORE_BUFFER // 8:
+        return False
+    return n_items <= 50_000 or expected_share(n_edges, n_items, n_entries, n_users) > 0.1
+
+
 def recommend_dense(
     users: DataFrame, items: DataFrame, seen: DataFrame, k: int, *, item_bias: bool = False, block_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:

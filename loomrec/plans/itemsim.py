@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomrec.operators.matrix import gram
 from loomrec.operators.pairs import both_ways, pair_sums
-from loomrec.operators.topk import DIGITS, item_scores, recommend_scored
+from loomrec.operators.topk import DIGITS, item_scores, recommend_scored, recommend_weighted, weights_fit
 from loomrec.plans.base import ItemSimilarity
 from loomrec.scratch import stow
 from loomrec.sources.triplets import Interactions, require_dimensions, require_finite, require_memory, require_minimum
@@ -28,9 +28,21 @@ class _ByWeights(ItemSimilarity):
         self.require_fitted()
         return item_scores(matrix, self.weights)
 
-    def recommend(self, matrix: Interactions, k: int = 10, **kwargs) -> DataFrame:
-        """``user_id, rank, item_id, score``: see :func:`recommend_scored`."""
-        return recommend_scored(matrix, self.score(matrix), k, **kwargs)
+    def recommend(self, matrix: Interactions, k: int = 10, *, strategy: str = "auto", allow_seen_backfill: bool = True) -> DataFrame:
+        """``user_id, rank, item_id, score``: see :func:`recommend_scored`.
+
+        ``strategy``: ``join`` scores by shuffles and fills lists up, ``broadcast`` scores a user against all items in one pass,
+        ``auto`` takes the latter while weights and universe are small.  Both give the same lists.
+        """
+        self.require_fitted()
+        if strategy == "auto" and allow_seen_backfill:
+            n_edges, n_items = self.weights.count(), matrix.items.count()
+            fits = weights_fit(n_edges, n_items, matrix.x.count() if n_items > 50_000 else 0, matrix.users.count() if n_items > 50_000 else 1)
+            strategy = "broadcast" if fits else "join"
+        if strategy == "broadcast":
+            ranked = recommend_weighted(matrix, self.weights, k)
+            return ranked if allow_seen_backfill else ranked.filter("score IS NOT NULL")
+        return recommend_scored(matrix, self.score(matrix), k, allow_seen_backfill=allow_seen_backfill)
 
 
 def strongest(edges: DataFrame, k: int) -> DataFrame:
