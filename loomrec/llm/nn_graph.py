@@ -144,9 +144,9 @@ def leaf_lists(x: np.ndarray, k: int, leaf: int, trees: int, rng) -> tuple[np.nd
             if c < 1:
                 continue
             y = np.ascontiguousarray(x[rows].T)
-            held = np.empty((256, len(rows)), np.float32)
-            for lo in range(0, len(rows), 256):
-                part = rows[lo : lo + 256]
+            held = np.empty((64, len(rows)), np.float32)  # a few rows at a time stay in the cache
+            for lo in range(0, len(rows), 64):
+                part = rows[lo : lo + 64]
                 s = np.matmul(x[part], y, out=held[: len(part)])
                 s[np.arange(len(part)), lo + np.arange(len(part))] = -3.0
                 at = largest(s, c)
@@ -559,11 +559,15 @@ def neighbour_graphs(
         _release()
     state = updated
 
+    lowest = np.uint16(0) if least is None else quantized(np.array([least - 1e-3]))[0]
+
     def listed(batches):
         for batch in batches:
             for raw, block in zip(batch.column("payload"), batch.column("dest").to_pylist()):
                 st = pickle.loads(raw.as_buffer())
-                i, j = np.nonzero(st["q"] > 0)
+                # The first k and what ties with the last of them; of a least similarity, only what reaches it.
+                bar = np.maximum(st["q"][:, min(k, keep) - 1 : min(k, keep)], lowest)
+                i, j = np.nonzero((st["q"] > 0) & (st["q"] >= bar))
                 sims = st["q"][i, j].astype(np.float64) / STEPS - 1
                 columns = [st["ids"][i], st["graph"][i, j].astype(np.int64), sims, np.full(len(i), block, np.int32)]
                 for lo in range(0, len(i), 1 << 18):
@@ -580,8 +584,6 @@ def neighbour_graphs(
 
     states = state.filter("kind = 'state'").select("dest", "payload")
     edges = states.mapInArrow(listed, "id long, code long, similarity double, block int")
-    if least is not None:
-        edges = edges.filter(F.col("similarity") >= least - 1e-3)
     names = states.mapInArrow(named, "code long, neighbour long")
     part = F.lit(None).cast("string")
     for p, name in enumerate(tables):
