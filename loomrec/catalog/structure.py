@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomrec.catalog.data import HELD, X, factor_sql, factors, heldout, matrix
 from loomrec.functions import link, log1pexp, safe_inverse, sigmoid, soft_threshold
 from loomrec.operators import matrix as ops
+from loomrec.operators import sampling
 from loomrec.operators.splits import random_holdout, temporal_split
+from loomrec.scratch import shared_dir
 from loomrec.sources.tables import table
 from loomrec.sources.triplets import index_ids, ingest_triplets, to_triplets
+from loomrec.streaming.updates import running_sums
 
 QUERIES, SQL = {}, {}
 
@@ -169,3 +174,45 @@ def split_temporal_train(spark, sf):
 @query(f"{_TIMED} SELECT user_id, item_id FROM s WHERE p > round_even(n * 0.8, 0)")
 def split_temporal_test(spark, sf):
     return _timed(spark, sf)[1].select("user_id", "item_id")
+
+
+_LOW = f"""WITH {X}, w AS (SELECT item_id, count(*)::DOUBLE AS w FROM x GROUP BY 1),
+    c AS (SELECT item_id, sum(w) OVER (ORDER BY item_id) - w AS low, sum(w) OVER (ORDER BY item_id) AS high FROM w)"""
+
+
+def _degrees(spark, sf):
+    return matrix(spark, sf).x.groupBy("item_id").agg(F.count("*").alias("w"))
+
+
+@query(f"{_LOW} SELECT item_id, low, high FROM c")
+def cumulative_weights(spark, sf):
+    return sampling.cumulative_weights(_degrees(spark, sf), "item_id", "w")
+
+
+@query(f"""{_LOW}, d AS (SELECT k AS draw, ((k % 1000003 * 48271 + 5 * 9973) % 1000003) / 1000003.0::DOUBLE * (SELECT max(high) FROM c) AS pos FROM range(20000) t(k))
+    SELECT draw, item_id FROM d JOIN c ON pos >= low AND pos < high""")
+def draw_by_degree(spark, sf):
+    return sampling.draw_weighted(_degrees(spark, sf), "item_id", "w", 20_000, 5)
+
+
+@query(f"WITH {X}, {HELD} SELECT h.user_id, h.item_id, x.value IS NOT NULL AS stored FROM held h LEFT JOIN x ON x.user_id = h.user_id AND x.item_id = h.item_id")
+def membership(spark, sf):
+    return sampling.membership(heldout(spark, sf), matrix(spark, sf).x)
+
+
+@query(f"WITH {X} SELECT user_id, item_id, value FROM x")
+def shuffled(spark, sf):
+    return sampling.shuffled(matrix(spark, sf).x, ["user_id", "item_id"], 1)
+
+
+@query("""SELECT CAST(date_trunc('day', rated_at) AS DATE) AS day, user_id, item_id, sum(value) AS value FROM (
+    SELECT DISTINCT user_id, item_id, value, rated_at FROM triplets
+    WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND rated_at IS NOT NULL AND isfinite(value)) GROUP BY 1, 2, 3""")
+def stream_running_sums(spark, sf):
+    path = f"{shared_dir(spark)}/sums-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf, "triplets").schema).parquet(f"{sf}/triplets.parque[t]")  # a pattern, as a stream takes no single file
+    sums = running_sums(stream, "rated_at", late="3650 days")
+    sums = sums.select(F.to_date("window.start").alias("day"), "user_id", "item_id", "value")
+    writer = sums.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state")
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
