@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.scratch import BROADCAST_BYTES, stow
+from loomrec.scratch import BROADCAST_BYTES, spread, stow
 
 #: Entries of one segment.
 SEGMENT = 8_192
@@ -54,7 +54,7 @@ def segments(x: DataFrame, entity: str, other: str, universe: DataFrame) -> Data
     pairs = rows.groupBy("id", "seg", "segs").agg(F.array_sort(F.collect_list(F.struct("o", "v"))).alias("e"))
     lists = pairs.select("id", "segs", F.col("e.o").alias("others"), F.col("e.v").alias("vals"))
     none, no_value = F.expr("CAST(array() AS ARRAY<BIGINT>)"), F.expr("CAST(array() AS ARRAY<DOUBLE>)")
-    full = universe.select(F.col(entity).alias("id")).join(lists, "id", "left")
+    full = spread(universe.select(F.col(entity).alias("id")).join(lists, "id", "left"), "id", "segs")
     return stow(full.select("id", F.coalesce("segs", F.lit(1)).alias("segs"), F.coalesce("others", none).alias("others"), F.coalesce("vals", no_value).alias("vals")))
 
 
@@ -259,6 +259,36 @@ def half_sweep(spark, segs: DataFrame, rules: Rules, mine: Table, other: Table)
     return Table(ids, x, mine.extra[mine.rows(ids)])
 
 
+def observed_loss(spark, segs: DataFrame, rules: Rules, mine: Table, other: Table) -> float:
+    """The part of the objective over stored entries, without regularization; both sides in broadcast form."""
+    held = spark.sparkContext.broadcast((mine, other, rules))
+
+    def kernel(batches):
+        mine, other, rules = held.value
+        total = 0.0
+        for batch in batches:
+            counts = np.diff(batch.column(2).offsets.to_numpy())
+            at = other.rows(batch.column(2).flatten().to_numpy(zero_copy_only=False))
+            vals = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            me = np.repeat(mine.rows(batch.column(0).to_numpy()), counts)
+            y = np.einsum("nk,nk->n", mine.factors[me], other.factors[at])
+            if rules.kind == "biased":
+                part = (vals - rules.mean - mine.extra[me] - other.extra[at] - y) ** 2
+            elif rules.kind == "weighted":
+                part = np.maximum(1.0, 1 + rules.alpha * vals) * (1 - y) ** 2
+            elif rules.kind == "cached":
+                part = (1 + rules.alpha * vals) * (1 - y) ** 2
+            else:
+                c = other.extra[at]
+                part = (1 + c) * (1 - y) ** 2 - c * y * y
+            total += float(part.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["loss"])
+
+    out = segs.mapInArrow(kernel, "loss double").agg(F.coalesce(F.sum("loss"), F.lit(0.0))).first()[0]
+    held.destroy()
+    return float(out)
+
+
 def _batch(ids, factors, partial):
     kind = pa.list_(pa.float64())
     none = pa.nulls(len(ids), kind)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrec.functions import dot, norm
-from loomrec.scratch import BROADCAST_BYTES, maybe_broadcast, stow
+from loomrec.scratch import BROADCAST_BYTES, maybe_broadcast, spread, stow
 from loomrec.sources.triplets import Interactions, require_k
 
 #: Scores that agree to so many decimals tie, and the smaller id comes first.
@@ -177,7 +177,7 @@ def recommend_weighted(matrix: Interactions, weights: DataFrame, k: int) -> Data
                     names=["user_id", "rank", "item_id", "score"],
                 )
 
-    return rows.mapInArrow(kernel, "user_id long, rank int, item_id long, score double")
+    return spread(rows, "user_id").mapInArrow(kernel, "user_id long, rank int, item_id long, score double")
 
 
 def weights_fit(n_edges: int, n_items: int, n_entries: int, n_users: int) -> bool:
@@ -201,6 +201,7 @@ def recommend_dense(
     lists = seen.groupBy(F.col("user_id").alias("id")).agg(F.collect_list("item_id").alias("seen"))
     empty = F.expr("CAST(array() AS ARRAY<BIGINT>)")
     rows = users.select("id", "factors").join(lists, "id", "left").select("id", "factors", F.coalesce("seen", empty).alias("seen"))
+    rows = spread(rows, "id")
     n = items.count()
     if not n:
         return users.limit(0).select(F.col("id").alias("user_id"), F.lit(1).alias("rank"), F.col("id").alias("item_id"), F.lit(0.0).alias("score"))

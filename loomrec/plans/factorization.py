@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomrec.functions import dot
 from loomrec.operators.matrix import factor_gram, sampled_product, seeded_normals
-from loomrec.operators.normal_equations import Rules, Table, fits_broadcast, half_sweep, half_sweep_joined, segments
+from loomrec.operators.normal_equations import Rules, Table, fits_broadcast, half_sweep, half_sweep_joined, observed_loss, segments
 from loomrec.operators.topk import all_scores, pair_scores, recommend_dense, similar_all, similar_to
 from loomrec.plans.base import MatrixFactorization
 from loomrec.scratch import BROADCAST_BYTES, stow
@@ -104,13 +104,19 @@ class _Alternating(_Factors):
         for step in range(1, (steps or self.max_iter) + 1):
             u = half_sweep(spark, by_user, self._rules("user", self._base(v, "user"), mean), u, v)
             v = half_sweep(spark, by_item, self._rules("item", self._base(u, "item"), mean), v, u)
-            # State is visible to callbacks while fitting.
-            self.__dict__.update(self._tables(spark, u, v, mean))
-            loss = self._loss(matrix, mean) if run is not None and run.wants_loss else None
+            if run is not None and run.callbacks:  # they see the state while fitting
+                self.__dict__.update(self._tables(spark, u, v, mean))
+            loss = None
+            if run is not None and run.wants_loss:
+                loss = observed_loss(spark, by_user, self._rules("user", np.zeros((0, 0)), mean), u, v) + self._shared_loss(u, v)
             if run is not None and run.epoch(step, loss):
                 break
         return {k: stow(x) if isinstance(x, DataFrame) else x for k, x in self._tables(spark, u, v, mean).items()}
 
+    def _shared_loss(self, u: Table, v: Table) -> float:
+        """The part of the objective that needs no entries."""
+        return self.reg * float((u.factors**2).sum() + (v.factors**2).sum())
+
     def _base(self, fixed: Table, side: str) -> np.ndarray:
         """Shared Gram matrix of the fixed side."""
         return fixed.factors.T @ fixed.factors
@@ -199,6 +205,10 @@ class WeightedMF(_Alternating):
     def _rules(self, side, base, mean):
         return Rules("biased" if self.explicit else "weighted", self.solver, self.alpha, self.reg, self.cg_steps, mean, base)
 
+    def _shared_loss(self, u, v):
+        biases = self.reg * float((u.extra**2).sum() + (v.extra**2).sum()) if self.explicit else 0.0
+        return super()._shared_loss(u, v) + biases
+
     def _tables(self, spark, u, v, mean):
         out = super()._tables(spark, u, v, mean)
         if self.explicit:
@@ -366,6 +376,10 @@ class ElementwiseALS(_Alternating):
         weight = fixed.extra[:, None] if side == "user" else 1.0
         return (fixed.factors * weight).T @ fixed.factors
 
+    def _shared_loss(self, u, v):
+        weighted = (v.factors * v.extra[:, None]).T @ v.factors
+        return super()._shared_loss(u, v) + float((u.factors.T @ u.factors * weighted).sum())
+
     def _gram(self, fixed, side):
         return factor_gram(fixed, "extra" if side == "user" else None)
 

@@ -104,8 +104,9 @@ class PairwiseRanking(_Factors):
                     return rng.integers(0, len(items), size)
 
                 loss = 0.0
-                for lo in range(0, draws, BATCH):
-                    at = rng.integers(0, len(u), min(BATCH, draws - lo))
+                batch = max(1, min(BATCH, min(len(users), len(items)) // 4))  # few draws of a batch share a row
+                for lo in range(0, draws, batch):
+                    at = rng.integers(0, len(u), min(batch, draws - lo))
                     a, b = u[at], i[at]
                     c = propose(len(at))
                     for _ in range(len(items)):

@@ -83,3 +83,12 @@ def small_enough(rows: int, bytes_per_row: int, limit: int = BROADCAST_BYTES) ->
 def maybe_broadcast(df: DataFrame, rows: int, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted size allows it; otherwise unchanged, and the join shuffles."""
     return F.broadcast(df) if small_enough(rows, bytes_per_row, limit) else df
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` placed by ``columns`` in exactly ``spark.sql.shuffle.partitions`` partitions.
+
+    For work that is heavy for its bytes: small partitions of it must not be merged into few tasks afterwards.  A grouping by the
+    same columns needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

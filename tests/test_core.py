@@ -18,7 +18,7 @@ def test_ingest(spark):
     m = ingest_triplets(t)
     assert m.x.count() == 5 and m.users.count() == 3 and m.items.count() == 5
     assert [(r["item_id"], r["user_id"]) for r in to_triplets(m).collect()] == [(1, 3), (2, 1), (3, 2), (4, 3), (5, 1)]
-    twice = spark.createDataFrame([(1, 2, 1.0), (1, 2, 2.0), (1, 2, 3.0)], "user double, item long, value double")
+    twice = spark.createDataFrame([(1.0, 2, 1.0), (1.0, 2, 2.0), (1.0, 2, 3.0)], "user double, item long, value double")
     assert ingest_triplets(twice).x.collect()[0]["value"] == 6.0
     assert ingest_triplets(twice, value_col=None).x.collect()[0]["value"] == 3.0
     assert ingest_triplets(t, n_users=9, n_items=7).users.count() == 9

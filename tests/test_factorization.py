@@ -171,6 +171,17 @@ def test_losses_fall(random_matrix):
         assert len(h.losses) == 4 and h.losses[-1] <= h.losses[0]
 
 
+def test_loss_of_the_loop_is_the_objective(random_matrix):
+    from loomrec.plans.callbacks import LossHistory
+
+    for model in (
+        WeightedMF(rank=3, max_iter=2, tol=-1), WeightedMF(rank=3, max_iter=2, tol=-1, feedback="explicit"),
+        CachedALS(rank=3, max_iter=2, tol=-1), ElementwiseALS(rank=3, max_iter=2, tol=-1),
+    ):
+        h = LossHistory()
+        assert model.fit(random_matrix, callbacks=[h]).loss(random_matrix) == pytest.approx(h.losses[-1])
+
+
 def test_svd_against_numpy(random_matrix):
     x = dense(random_matrix, 40, 25)
     s = np.linalg.svd(x)[1]
