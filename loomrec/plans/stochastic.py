@@ -16,7 +16,7 @@ from loomrec.operators.topk import all_scores, pair_scores, recommend_dense
 from loomrec.plans import shards
 from loomrec.plans.base import ExplicitModel
 from loomrec.plans.factorization import _Factors, ids_of
-from loomrec.scratch import stow
+from loomrec.scratch import discard, stow
 from loomrec.sources.triplets import Interactions, require_dimensions, require_finite
 
 BATCH = 256
@@ -46,7 +46,8 @@ class PairwiseRanking(_Factors):
     With s = sigmoid(u (j - i)): u += lr (s (i - j) - reg_user u), i += lr (s u - reg_positive i), j += lr (-s u - reg_negative j).
     ``n_samples`` draws an epoch (0: as many as there are eligible entries).  Users who own every item are left out; if nobody
     is left, fitting raises ``ValueError``.  Negatives are uniform, by the square root of the degree (``popular``), or the best
-    scored of ``dynamic_candidates`` (``dynamic``).
+    scored of ``dynamic_candidates`` (``dynamic``).  In several shards i and j come from the same block of items; every epoch deals
+    other blocks, and entries of users who own a whole block sit out until the next deal.
     """
 
     rank: int = 64
@@ -80,18 +81,29 @@ class PairwiseRanking(_Factors):
         degree = np.zeros(len(items))
         counts = matrix.x.groupBy("item_id").agg(F.count("*").alias("n")).toArrow()
         degree[_places(items, counts["item_id"].to_numpy())] = counts["n"].to_numpy()
-        popular = np.cumsum(np.sqrt(degree))
         params = {"u": seeded_normals(users, self.rank, 0.01, self.seed), "v": seeded_normals(items, self.rank, 0.01, self.seed + 1)}
         n_shards = shards.shard_count(total, self.n_shards)
-        draws = max(1, (self.n_samples or total) // n_shards)
+        draws = self.n_samples or total
         for step in range(1, self.max_iter + 1):
             lr, sampling, tries, seed = self.lr, self.sampling, self.dynamic_candidates, self.seed
             regs = (self.reg_user, self.reg_positive, self.reg_negative)
 
-            def train(columns, p, shard, lr=lr, step=step):
-                rng = np.random.default_rng([seed, step, shard])
+            dealt = shards.cells(able, n_shards, "user_id", "item_id", step)
+            blocks = np.zeros(len(items), int)
+            if n_shards > 1:
+                got = matrix.items.select("item_id", shards.block("item_id", n_shards, step).alias("b")).toArrow()
+                blocks[_places(items, got["item_id"].to_numpy())] = got["b"].to_numpy()
+
+            def train(columns, p, shard, turn, lr=lr, step=step, blocks=blocks):
+                rng = np.random.default_rng([seed, step, shard + n_shards * turn])
                 u, i = _places(users, columns["user_id"]), _places(items, columns["item_id"])
                 owned = np.sort(u * len(items) + i)
+                can = np.flatnonzero(blocks == (shard + turn) % n_shards)
+                popular = np.cumsum(np.sqrt(degree[can]))
+                if n_shards > 1:
+                    able = np.bincount(u)[u] < len(can)
+                    u, i = u[able], i[able]
+                many = int(draws * len(u) / total + np.random.default_rng([seed, step, shard, turn]).random())
 
                 def unseen(who, j):
                     key = who * len(items) + j
@@ -100,16 +112,16 @@ class PairwiseRanking(_Factors):
 
                 def propose(size):
                     if sampling == "popular" and popular[-1] > 0:
-                        return np.searchsorted(popular, rng.random(size) * popular[-1], side="right")
-                    return rng.integers(0, len(items), size)
+                        return can[np.searchsorted(popular, rng.random(size) * popular[-1], side="right")]
+                    return can[rng.integers(0, len(can), size)]
 
                 loss = 0.0
                 batch = max(1, min(BATCH, min(len(users), len(items)) // 4))  # few draws of a batch share a row
-                for lo in range(0, draws, batch):
-                    at = rng.integers(0, len(u), min(batch, draws - lo))
+                for lo in range(0, many, batch):
+                    at = rng.integers(0, len(u), min(batch, many - lo))
                     a, b = u[at], i[at]
                     c = propose(len(at))
-                    for _ in range(len(items)):
+                    for _ in range(len(can)):
                         bad = ~unseen(a, c)
                         if not bad.any():
                             break
@@ -130,10 +142,11 @@ class PairwiseRanking(_Factors):
                     np.add.at(p["v"], c, lr * (-s * fu - regs[2] * fj))
                 return loss
 
-            got = shards.epoch(spark, able, n_shards, ["user_id", "item_id"], "user_id", params, train)
+            got = shards.cell_epoch(dealt, n_shards, ["user_id", "item_id"], params, train)
+            discard(dealt)
             params = got["params"]
             self.__dict__.update(user_factors=Table(users, params["u"]).to_frame(spark), item_factors=Table(items, params["v"]).to_frame(spark))
-            if run.epoch(step, got["loss"] / max(1, draws * n_shards)):
+            if run.epoch(step, got["loss"] / draws):
                 break
         return {"user_factors": stow(self.user_factors), "item_factors": stow(self.item_factors)}
 
@@ -173,10 +186,12 @@ class GlobalVectors(_Factors):
         rng = np.random.default_rng(self.seed)
         params = {"w": rng.uniform(-0.5, 0.5, (n, k)), "v": rng.uniform(-0.5, 0.5, (n, k)), "b": rng.uniform(-0.5, 0.5, n), "c": rng.uniform(-0.5, 0.5, n)}
         params |= {f"g{key}": np.ones_like(p) for key, p in list(params.items())}
+        n_shards = shards.shard_count(bad["n"], self.n_shards)
+        dealt = shards.cells(pairs, n_shards, "word", "context")
         for step in range(1, self.max_iter + 1):
             lr, reg, x_max, alpha = self.lr, self.reg, self.x_max, self.alpha
 
-            def train(columns, p, shard, lr=lr):
+            def train(columns, p, shard, turn, lr=lr):
                 i, j = _places(names, columns["word"]), _places(names, columns["context"])
                 x = columns["count"]
                 weight, cost = np.minimum((x / x_max) ** alpha, 1.0), 0.0
@@ -191,7 +206,7 @@ class GlobalVectors(_Factors):
                         np.add.at(p[f"g{key}"], at, grad * grad)
                 return cost
 
-            got = shards.epoch(spark, pairs, shards.shard_count(bad["n"], self.n_shards), ["word", "context"], "word", params, train)
+            got = shards.cell_epoch(dealt, n_shards, ["word", "context"], params, train)
             params = got["params"]
             if not np.isfinite(got["loss"]):
                 raise FloatingPointError("GlobalVectors: the cost is not finite")
@@ -347,10 +362,11 @@ class ProbabilisticMF(ExplicitModel):
         users, items = ids_of(matrix.users, "user_id"), ids_of(matrix.items, "item_id")
         params = {"u": seeded_normals(users, self.rank, 0.1, self.seed), "v": seeded_normals(items, self.rank, 0.1, self.seed + 1)}
         n_shards = shards.shard_count(matrix.x.count(), self.n_shards)
+        dealt = shards.cells(matrix.x, n_shards, "user_id", "item_id")
         for step in range(1, self.max_iter + 1):
             lr, reg = self.lr, self.reg
 
-            def train(columns, p, shard, lr=lr):
+            def train(columns, p, shard, turn, lr=lr):
                 pu, pv, loss = p["u"], p["v"], 0.0
                 for a, b, r in zip(_places(users, columns["user_id"]).tolist(), _places(items, columns["item_id"]).tolist(), columns["value"].tolist()):
                     u, v = pu[a], pv[b]
@@ -361,7 +377,7 @@ class ProbabilisticMF(ExplicitModel):
                     v += lr * (err * old - reg * v)
                 return loss
 
-            got = shards.epoch(spark, matrix.x, n_shards, ["user_id", "item_id"], "user_id", params, train)
+            got = shards.cell_epoch(dealt, n_shards, ["user_id", "item_id"], params, train)
             params = got["params"]
             if run.epoch(step, got["loss"] / max(1, got["n"])):
                 break

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 from conftest import lists, matrix_of
+from pyspark.sql import functions as F
 
+from loomrec.plans import shards
 from loomrec.plans.callbacks import STOP, Callback, Checkpoint, ConvergenceMonitor, EarlyStopping, LearningRate, LossHistory
 from loomrec.plans.explicit import BaselineOnly
 from loomrec.plans.factorization import CachedALS, ElementwiseALS, WeightedMF
@@ -121,6 +123,59 @@ def test_logistic_and_probabilistic(spark):
     assert model.predict(m.x).count() == m.x.count() and not hasattr(model, "recommend")
 
 
+def spread(spark, n_users=60, n_items=40):
+    rng = np.random.default_rng(3)
+    p, q = rng.normal(size=(n_users, 2)), rng.normal(size=(n_items, 2))
+    cells = [(u + 1, i + 1, float(p[u] @ q[i])) for u in range(n_users) for i in range(n_items) if rng.random() < 0.5]
+    return matrix_of(spark, cells, range(1, n_users + 1), range(1, n_items + 1)).settled()
+
+
+def fit_losses(model, data):
+    h = LossHistory()
+    model.fit(data, callbacks=[h])
+    return h.losses
+
+
+def test_shards_reach_the_loss_of_one(spark):
+    m = spread(spark)
+    for model in (lambda s: ProbabilisticMF(rank=3, max_iter=5, lr=0.05, n_shards=s), lambda s: PairwiseRanking(rank=3, max_iter=5, lr=0.2, n_samples=4000, n_shards=s)):
+        one, four = fit_losses(model(1), m), fit_losses(model(4), m)
+        assert one[0] - four[-1] > 0.85 * (one[0] - one[-1]), (one, four)
+    pairs = spark.createDataFrame([(i, j, 1.0 + i * j % 50) for i in range(1, 41) for j in range(1, 41) if i != j], "word long, context long, count double")
+    one, four = (fit_losses(GlobalVectors(rank=3, max_iter=5, n_shards=s), pairs) for s in (1, 4))
+    assert one[0] - four[-1] > 0.85 * (one[0] - one[-1]), (one, four)
+
+
+def test_cells_train_every_sample_on_rows_of_their_own(spark):
+    m = spread(spark)
+    params = {"u": np.zeros(61), "v": np.zeros(41)}
+
+    def count(columns, p, shard, turn):
+        np.add.at(p["u"], columns["user_id"], 1.0)
+        np.add.at(p["v"], columns["item_id"], 1.0)
+        return len(columns["user_id"])
+
+    dealt = shards.cells(m.x, 5, "user_id", "item_id")
+    assert not dealt.groupBy("_turn", "item_id").agg(F.count_distinct("_shard").alias("n")).filter("n > 1").count()
+    got = shards.cell_epoch(dealt, 5, ["user_id", "item_id"], params, count)
+    for key, column in (("u", "user_id"), ("v", "item_id")):
+        want = {r[column]: r["count"] for r in m.x.groupBy(column).count().collect()}
+        assert {k: int(v) for k, v in enumerate(got["params"][key]) if v} == want
+    assert got["n"] == m.x.count() == got["loss"]
+
+
+def test_rows_of_one_shard_take_their_whole_change(spark):
+    rows = spark.createDataFrame([(s,) for s in range(40)], "sample_id long")
+
+    def mark(columns, p, shard):
+        p["own"][columns["sample_id"]] += 1.0
+        p["all"] += 1.0
+        return 0.0
+
+    got = shards.epoch(spark, rows, 4, ["sample_id"], "sample_id", {"own": np.zeros(40), "all": np.zeros((2, 3))}, mark)["params"]
+    assert (got["own"] == 1).all() and (got["all"] == 1).all()
+
+
 def test_monitor():
     m = ConvergenceMonitor(0.01, 3)
     assert [m.record(v) for v in (1.0, 1.0, 1.0)] == [False, False, True]
