@@ -29,6 +29,11 @@ def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
 
 
+def p1_all_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = cooccurring_items(table(spark, sf, "triplets"), "user_id", "item_id")
+    return pairs.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return frequent_values(table(spark, sf, "triplets"), "item_id", min_share=0.005).select(F.col("value").alias("item_id"))
 
@@ -110,7 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p6_found, p6_pairs, p7_pack,
+            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p6_found, p6_pairs, p7_pack,
             p8_found, p8_report, p8_mix, p9_found, p9_pieces,
         )
     }
@@ -158,6 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"{_PAIR_COUNTS} SELECT item_a, item_b FROM l WHERE n_ab >= 12 AND lift >= 20",
         "p1_pairs": f"""{_PAIR_COUNTS} SELECT item_a, item_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(ln(lift), 6) AS pmi
             FROM l WHERE n_ab >= 5""",
+        "p1_all_pairs": f"{_PAIR_COUNTS} SELECT item_a, item_b, n_ab, n_a, n_b, round(lift, 6) AS lift, round(ln(lift), 6) AS pmi FROM l",
         "p2_found": """SELECT item_id FROM triplets WHERE item_id IS NOT NULL GROUP BY item_id
             HAVING count(*) >= 0.005 * (SELECT count(*) FROM triplets)""",
         "p2_top": """SELECT item_id, count(*) AS n FROM triplets WHERE item_id IS NOT NULL GROUP BY item_id

@@ -104,3 +104,20 @@ def test_top_n_of_sums(spark):
     assert top_n_of_sums(df.limit(0), "group", "item", "score", 2).count() == 0
     with pytest.raises(ValueError):
         top_n_per_group(df, "group", "item", "score", 0)
+
+
+def test_registered_query_gives_every_pair(spark):
+    from itertools import combinations
+
+    from loomrec.llm.queries import queries
+
+    folder = "/root/testdata/sf0.001"
+    baskets = {}
+    for r in spark.read.parquet(f"{folder}/triplets.parquet").select("user_id", "item_id").dropna().distinct().collect():
+        baskets.setdefault(r[0], []).append(r[1])
+    want = {}
+    for xs in baskets.values():
+        for pair in combinations(sorted(xs), 2):
+            want[pair] = want.get(pair, 0) + 1
+    got = {(r["item_a"], r["item_b"]): r["n_ab"] for r in queries()["p1_all_pairs"](spark, folder).collect()}
+    assert got == want and min(got.values()) == 1
