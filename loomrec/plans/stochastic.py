@@ -240,6 +240,14 @@ def glove_cost(pairs: DataFrame, words: DataFrame, contexts: DataFrame, x_max: f
     return rows.agg((0.5 * F.sum(weight * diff * diff)).alias("cost"))
 
 
+def _whole(segs: DataFrame, other: Table) -> dict[int, np.ndarray]:
+    """Places of all entries, in order, of the entities that have several segments; four bytes an entry."""
+    parts: dict[int, list] = {}
+    for r in segs.filter("segs > 1").select("id", "others").toLocalIterator():
+        parts.setdefault(r["id"], []).append(other.rows(np.asarray(r["others"], np.int64)).astype(np.int32))
+    return {i: np.sort(np.concatenate(p)) for i, p in parts.items()}
+
+
 @dataclass
 class LogisticMF(_Factors):
     """Logistic matrix factorization (experimental): factors plus a bias column on each side, AdaGrad or RMSProp per entity.
@@ -284,10 +292,11 @@ class LogisticMF(_Factors):
             f[degree == 0] = 0.0
             sides.append([Table(ids, f, degree), np.zeros_like(f), pinned])
         by = [segments(matrix.x, "user_id", "item_id", matrix.users), segments(matrix.x, "item_id", "user_id", matrix.items)]
+        whole = [_whole(by[s], sides[1 - s][0]) for s in (0, 1)]
         for step in range(1, self.max_iter + 1):
             for s in (0, 1):
                 (mine, total, pinned), other = sides[s], sides[1 - s][0]
-                grad = self._gradient(spark, by[s], mine, other, step)
+                grad = self._gradient(spark, by[s], mine, other, step, whole[s])
                 grad[:, pinned] = 0.0
                 total[:] = 0.9 * total + 0.1 * grad**2 if self.optimizer == "rmsprop" else total + grad**2
                 mine.factors += self.lr * grad / (np.sqrt(total) + 1e-6)
@@ -298,12 +307,12 @@ class LogisticMF(_Factors):
                 break
         return {key: stow(df) for key, df in frames.items()}
 
-    def _gradient(self, spark, segs: DataFrame, mine: Table, other: Table, step: int) -> np.ndarray:
-        held = spark.sparkContext.broadcast((mine, other, np.cumsum(other.extra)))
+    def _gradient(self, spark, segs: DataFrame, mine: Table, other: Table, step: int, whole: dict[int, np.ndarray]) -> np.ndarray:
+        held = spark.sparkContext.broadcast((mine, other, np.cumsum(other.extra), whole))
         alpha, reg, many, seed = self.alpha, self.reg, self.n_negative, self.seed
 
         def kernel(batches):
-            mine, other, popular = held.value
+            mine, other, popular, whole = held.value
             for batch in batches:
                 ids, out = batch.column(0).to_numpy(), []
                 offsets = batch.column(2).offsets.to_numpy()
@@ -317,11 +326,14 @@ class LogisticMF(_Factors):
                     share = len(own) / max(1.0, mine.extra[me[r]])  # of the regularization, if there are several segments
                     e = other.factors[own]
                     g = (alpha * v * _logistic(-(e @ u))) @ e - reg * share * u
-                    draws = min(len(other.ids), len(own) * many)
+                    every = whole.get(int(i), own)  # the entity's entries in all of its segments
+                    draws = min(len(other.ids), len(every) * many)
                     if draws and popular[-1] > 0:
-                        rng = np.random.default_rng([seed, step, int(i) & 0x7FFFFFFF, len(own)])
+                        rng = np.random.default_rng([seed, step, int(i) & 0x7FFFFFFF, len(every)])
                         j = np.searchsorted(popular, rng.random(draws) * popular[-1], side="right")
-                        j = j[~np.isin(j, own)]
+                        if len(every) > len(own):  # the entity's draws are dealt to its entries in turn
+                            j = j[np.isin(np.arange(draws) % len(every), np.searchsorted(every, own))]
+                        j = j[~np.isin(j, every)]
                         f = other.factors[j]
                         g = g - _logistic(f @ u) @ f
                     out.append(g)

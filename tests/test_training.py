@@ -176,6 +176,18 @@ def test_rows_of_one_shard_take_their_whole_change(spark):
     assert (got["own"] == 1).all() and (got["all"] == 1).all()
 
 
+def test_logistic_segments_follow_the_whole_entity(spark, monkeypatch):
+    from loomrec.operators import normal_equations
+
+    m = spread(spark)
+    fitted = []
+    for size in (8_192, 7):
+        monkeypatch.setattr(normal_equations, "SEGMENT", size)
+        model = LogisticMF(rank=3, max_iter=2, lr=0.1, n_negative=3).fit(m)
+        fitted.append({r["id"]: r["factors"] for r in model.item_factors.collect()})
+    assert all(fitted[1][i] == pytest.approx(f, abs=1e-9) for i, f in fitted[0].items())
+
+
 def test_monitor():
     m = ConvergenceMonitor(0.01, 3)
     assert [m.record(v) for v in (1.0, 1.0, 1.0)] == [False, False, True]
