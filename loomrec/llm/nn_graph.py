@@ -8,6 +8,9 @@ home is.  A round of NN-descent consists of two Spark joins on the block:
   similarity is computed and, where it beats the worst kept neighbour of either, sent to that one's home.
 * update: a block merges what was found for its members and sends each vector to the homes of its neighbours again.
 
+Rounds alternate with random projection trees in other partitions of the vectors, until the recall measured on a sample of
+vectors is as high as asked for.
+
 Blocks travel as packed arrays, so the JVM moves a few large rows instead of a row per candidate.
 """
 
@@ -30,8 +33,10 @@ BLOCK_ROWS = 50_000
 SAMPLE_ROWS, SAMPLE_PER_BLOCK = 16_384, 64
 #: Similarities are kept in steps of 1 / STEPS.
 STEPS = 32_767.0
-ROW = "kind string, dest int, src int, moved long, payload binary"
-SCHEMA = pa.schema([("kind", pa.string()), ("dest", pa.int32()), ("src", pa.int32()), ("moved", pa.int64()), ("payload", pa.binary())])
+ROW = "kind string, dest int, src int, moved long, hits long, sought long, payload binary"
+SCHEMA = pa.schema(
+    [("kind", pa.string()), ("dest", pa.int32()), ("src", pa.int32()), ("moved", pa.int64()), ("hits", pa.int64()), ("sought", pa.int64()), ("payload", pa.binary())]
+)
 
 
 def packed(**arrays) -> bytes:
@@ -39,7 +44,7 @@ def packed(**arrays) -> bytes:
 
 
 def rows_table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+    columns = list(zip(*rows)) if rows else [[]] * len(SCHEMA)
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
 
@@ -86,20 +91,10 @@ def leaf_of(nodes: list[tuple], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def random_leaves(vectors: np.ndarray, size: int, rng) -> list[np.ndarray]:
-    """Rows in groups of at most ``size`` by median cuts along random directions; equal vectors are cut apart as well."""
-    out, stack = [], [np.arange(len(vectors))]
-    while stack:
-        rows = stack.pop()
-        if len(rows) <= size:
-            out.append(rows)
-            continue
-        a, b = vectors[rng.choice(rows, 2, replace=False)]
-        way = a - b if np.abs(a - b).max() > 1e-6 else rng.standard_normal(vectors.shape[1]).astype(np.float32)
-        half = len(rows) // 2
-        order = np.argpartition(vectors[rows] @ way, half)
-        stack += [rows[order[:half]], rows[order[half:]]]
-    return out
+u64 = np.uint64
+#: Owners whose lists are merged by one sort: 15 bits of owner, 32 of code, 16 of similarity and a flag fill a key.
+OWNERS = 1 << 15
+NONE = np.zeros(0, u64)
 
 
 def quantized(sims: np.ndarray) -> np.ndarray:
@@ -111,105 +106,173 @@ def above(q: np.ndarray) -> np.ndarray:
     return ((q.astype(np.float32) + 0.5) / STEPS - 1).astype(np.float32)
 
 
-def largest(s: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` largest of each row, in no order.
+def without_repeats(key: np.ndarray, shift: int = 0) -> np.ndarray:
+    """Of sorted keys the first of each run with equal bits from ``shift``."""
+    if len(key) < 2:
+        return key
+    name = key >> u64(shift) if shift else key
+    first = np.empty(len(key), bool)
+    first[0] = True
+    np.not_equal(name[1:], name[:-1], out=first[1:])
+    return key[first]
 
-    A wide row is first reduced to the maxima of slices laid over each other: the ``k`` largest lie in the ``k`` slots of
-    largest maximum, so only those are looked into.
+
+def best_of_owners(key: np.ndarray, n: int, shift: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` keys of each owner 0..n-1 (the bits from ``shift``) of sorted keys as an array (n, k), and which exist."""
+    edge = np.searchsorted(key, np.arange(n + 1, dtype=u64) << u64(shift))
+    at = edge[:-1, None] + np.arange(k)
+    there = at < edge[1:, None]
+    return (key.take(at, mode="clip") if len(key) else np.zeros((n, k), u64)), there
+
+
+class Candidates:
+    """The ``k`` best candidates of each of ``n`` owners among what is held, as packed keys (owner, falling similarity, other)
+    that one sort puts in order.
+
+    ``bar`` is the similarity above which a candidate is of use to its owner; it rises to the owner's k-th best.
     """
-    n, width = s.shape
-    layers = 16
-    slots = width // layers
-    if slots < 2 * k:
-        return np.argpartition(s, width - k, axis=1)[:, width - k :]
-    top = s[:, :slots].copy()
-    for layer in range(1, layers):
-        np.maximum(top, s[:, layer * slots : (layer + 1) * slots], out=top)
-    chosen = np.argpartition(top, slots - k, axis=1)[:, slots - k :]
-    places = (chosen[:, :, None] + np.arange(layers) * slots).reshape(n, -1)
-    if width > layers * slots:
-        rest = np.broadcast_to(np.arange(layers * slots, width), (n, width - layers * slots))
-        places = np.concatenate([places, rest], axis=1)
-    near = np.take_along_axis(s, places, 1)
-    return np.take_along_axis(places, np.argpartition(near, places.shape[1] - k, axis=1)[:, places.shape[1] - k :], 1)
-
-
-def leaf_lists(x: np.ndarray, k: int, leaf: int, trees: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the ``k`` most similar rows within its leaf, over several random trees: rows and similarities, 2-d, with
-    repeats between trees and -1 where there are fewer."""
-    near, sims = np.full((len(x), k * trees), -1, np.int32), np.full((len(x), k * trees), -1.0, np.float32)
+
+    def __init__(self, n: int, k: int, worst: np.ndarray | None = None):
+        self.n, self.k = n, k
+        self.bar = np.full(n, -2.0, np.float32) if worst is None else above(worst)
+        self.bits = max(1, int(n - 1).bit_length())  # of owner and of other
+        if 2 * self.bits + 16 > 64:
+            raise ValueError("at most 2**24 vectors can meet in one block; use smaller blocks")
+        self.best, self.waiting, self.held = NONE, [], 0
+
+    def hold(self, owner: np.ndarray, other: np.ndarray, sims: np.ndarray) -> None:
+        fall = u64(65_535) - quantized(sims).astype(u64)
+        self.waiting.append((owner.astype(u64) << u64(self.bits + 16)) | (fall << u64(self.bits)) | other.astype(u64))
+        self.held += len(owner)
+        if self.held > max(1 << 20, self.k * self.n):
+            self.settle()
+
+    def settle(self) -> None:
+        """Merge what waits into the best of each owner and raise the bars."""
+        if not self.waiting:
+            return
+        key = np.concatenate([self.best, *self.waiting])
+        self.waiting, self.held = [], 0
+        key.sort()
+        best, there = best_of_owners(without_repeats(key), self.n, self.bits + 16, self.k)
+        last = self.steps(best[:, -1])
+        self.bar[: self.n] = np.where(there[:, -1], np.maximum(self.bar[: self.n], above(last)), self.bar[: self.n])
+        self.best = best[there]
+
+    def steps(self, key: np.ndarray) -> np.ndarray:
+        return (u64(65_535) - ((key >> u64(self.bits)) & u64(65_535))).astype(np.uint16)
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, other and step of similarity, by owner."""
+        self.settle()
+        owner, other = self.best >> u64(self.bits + 16), self.best & u64((1 << self.bits) - 1)
+        return owner.astype(np.int64), other.astype(np.int64), self.steps(self.best)
+
+
+def ranks(names: np.ndarray) -> np.ndarray:
+    """Place of each entry of a sorted array within its run of equal entries."""
+    start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+    return np.arange(len(names)) - np.repeat(start, np.diff(np.r_[start, len(names)]))
+
+
+def random_leaves(x: np.ndarray, size: int, rng) -> list[np.ndarray]:
+    """Rows in groups of at most ``size`` by median cuts along random directions; equal vectors are cut apart as well."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        a, b = x[rng.choice(rows, 2, replace=False)]
+        way = a - b if np.abs(a - b).max() > 1e-6 else rng.standard_normal(x.shape[1]).astype(np.float32)
+        half = len(rows) // 2
+        order = np.argpartition(x.take(rows, axis=0, mode="clip") @ way, half)
+        stack += [rows[order[:half]], rows[order[half:]]]
+    return out
+
+
+def forest(x: np.ndarray, k: int, leaf: int, trees: int, rng, worst: np.ndarray | None = None) -> Candidates:
+    """For each row the ``k`` best other rows above its ``worst`` step (if given) in the leaves of random projection trees."""
+    found = Candidates(len(x), k, worst)
+    rows_at_once = max(1, (1 << 18) // leaf)  # products stay in the cache
+    product, over = np.empty(rows_at_once * leaf, np.float32), np.empty(rows_at_once * leaf, bool)
     for t in range(trees):
         for rows in random_leaves(x, leaf, rng):
-            c = min(k, len(rows) - 1)
-            if c < 1:
-                continue
-            y = np.ascontiguousarray(x[rows].T)
-            held = np.empty((64, len(rows)), np.float32)  # a few rows at a time stay in the cache
-            for lo in range(0, len(rows), 64):
-                part = rows[lo : lo + 64]
-                s = np.matmul(x[part], y, out=held[: len(part)])
-                s[np.arange(len(part)), lo + np.arange(len(part))] = -3.0
-                at = largest(s, c)
-                near[part, t * k : t * k + c] = rows[at]
-                sims[part, t * k : t * k + c] = np.take_along_axis(s, at, 1)
-    return near, sims
-
-
-def ranked_once(place: np.ndarray, code: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by place, falling similarity and code, and the starts of runs of equal (place, code) in it.
-
-    While places have 17 bits, one packed key sorts them with the low bits of the code; equal candidates then come together.
-    """
-    fall = 65_535 - q.astype(np.int64)
-    if len(place) and int(place.max()) < 1 << 17:
-        order = np.argsort((place.astype(np.int64) << 46) | (fall << 30) | (code & code.dtype.type(0x3FFFFFFF)).astype(np.int64))
-    else:
-        order = np.lexsort((code, fall, place))
-    p, c = place[order], code[order]
-    return order, np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])]) if len(p) else np.zeros(0, np.int64)
+            m = len(rows)
+            y = x.take(rows, axis=0, mode="clip")
+            across, bars = np.ascontiguousarray(y.T), found.bar[rows]
+            for lo in range(0, m, rows_at_once):
+                b = min(rows_at_once, m - lo)
+                s, hit = product[: b * m].reshape(b, m), over[: b * m].reshape(b, m)
+                np.matmul(y[lo : lo + b], across, out=s)
+                s[np.arange(b), np.arange(lo, lo + b)] = -3.0
+                bar = bars[lo : lo + b]
+                if not t and worst is None and m > k + 1:  # no list yet: the leaf's own k best
+                    bar = np.partition(s, m - k, axis=1)[:, m - k] - np.float32(1e-6)
+                np.greater(s, bar[:, None], out=hit)
+                at = np.flatnonzero(hit.reshape(-1))
+                i, j = np.divmod(at, m)
+                found.hold(rows[i + lo], rows[j], product[at])
+        if not t:
+            found.settle()
+    return found
 
 
 def best_lists(owner, other, q, new, n: int, k: int):
     """The ``k`` best distinct ``other`` of each owner 0..n-1 as arrays (n, k): codes, steps of similarity (0: empty) and flags.
 
-    Best is the larger step; a code that came several times is new only if all its copies are.
+    Best is the larger step, then the smaller code; a code that came several times is new only if all its copies are.  Copies
+    whose steps differ are rare and can cost a list its last entry.
     """
-    order, runs = ranked_once(owner, other, q)
-    flags_of = np.logical_and.reduceat(new[order], runs) if len(runs) else new[:0]
-    order = order[runs]
-    owner, other, q, new = owner[order], other[order], q[order], flags_of
-    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
-    rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
-    width = k + k // 2
-    first = rank < width
-    owner, rank = owner[first], rank[first]
-    empty = np.iinfo(other.dtype).max
-    codes, steps, flags = np.full((n, width), empty, other.dtype), np.zeros((n, width), np.uint16), np.zeros((n, width), bool)
-    codes[owner, rank], steps[owner, rank], flags[owner, rank] = other[first], q[first], new[first]
-    by_code = np.argsort(codes, axis=1, kind="stable")
-    codes, steps, flags = (np.take_along_axis(c, by_code, 1) for c in (codes, steps, flags))
-    again = codes[:, 1:] == codes[:, :-1]
-    # Copies computed in different batches can differ by a step; an old one keeps the flag false.
-    flags[:, :-1] &= ~(again & ~flags[:, 1:])
-    steps[:, 1:][again] = 0
-    by_step = np.argsort(65_535 - steps, axis=1, kind="stable")[:, :k]
-    codes, steps, flags = (np.take_along_axis(c, by_step, 1) for c in (codes, steps, flags))
-    codes[steps == 0] = empty
-    return codes, steps, flags & (steps > 0)
+    kind = other.dtype
+    empty = np.iinfo(kind).max
+    names = None
+    if kind != np.uint32:  # 64-bit codes are sorted by their place among the distinct ones
+        names, other = np.unique(other, return_inverse=True)
+    codes, steps, flags = np.full((n, k), empty, kind), np.zeros((n, k), np.uint16), np.zeros((n, k), bool)
+    part = owner >> 15
+    for c in range(-(-n // OWNERS)):
+        at = slice(None) if n <= OWNERS else np.flatnonzero(part == c)
+        key = ((owner[at].astype(u64) & u64(OWNERS - 1)) << u64(49)) | (other[at].astype(u64) << u64(1)) | new[at].astype(u64)
+        key |= (u64(65_535) - q[at].astype(u64)) << u64(33)
+        key.sort()
+        rows = slice(c * OWNERS, min(n, (c + 1) * OWNERS))
+        best, there = best_of_owners(without_repeats(key, 1), rows.stop - rows.start, 49, k)
+        code = (best >> u64(1)) & u64(0xFFFFFFFF)
+        codes[rows] = np.where(there, code.astype(kind) if names is None else names.take(code.astype(np.int64), mode="clip"), empty)
+        steps[rows] = np.where(there, u64(65_535) - ((best >> u64(33)) & u64(65_535)), u64(0)).astype(np.uint16)
+        flags[rows] = there & (best & u64(1)).astype(bool)
+    # Copies whose similarities were computed in different batches can differ by a step: few lists, mended apart.
+    line = np.sort(codes, axis=1)
+    odd = np.flatnonzero(((line[:, 1:] == line[:, :-1]) & (line[:, 1:] != empty)).any(axis=1))
+    if len(odd):
+        order = np.argsort(codes[odd], axis=1, kind="stable")
+        a, s, f = (np.take_along_axis(v[odd], order, 1) for v in (codes, steps, flags))
+        again = (a[:, 1:] == a[:, :-1]) & (a[:, 1:] != empty)
+        f[:, :-1] &= ~again | f[:, 1:]
+        a[:, 1:][again], s[:, 1:][again], f[:, 1:][again] = empty, 0, False
+        order = np.argsort(65_535 - s, axis=1, kind="stable")
+        codes[odd], steps[odd], flags[odd] = (np.take_along_axis(v, order, 1) for v in (a, s, f))
+    return codes, steps, flags
 
 
 class Descent:
     """Parameters and kernels of the rounds; one instance is shipped to the workers.
 
     ``bits`` of a code name the place in a block, the higher ones the block; codes are 32 bits wide while that suffices.
+    ``probes`` maps sampled ids to the step of their true k-th similarity: with it an update counts how many of their
+    true neighbours are listed.
     """
 
-    def __init__(self, keep, sample, leaf, trees, seed, bits, wide):
-        self.keep, self.sample, self.leaf, self.trees, self.seed = keep, sample, leaf, trees, seed
+    def __init__(self, k, keep, sample, leaf, trees, seed, bits, wide):
+        self.k, self.keep, self.sample, self.leaf, self.trees, self.seed = k, keep, sample, leaf, trees, seed
         self.bits, self.kind = bits, np.uint64 if wide else np.uint32
+        self.empty = np.iinfo(self.kind).max
+        self.probes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.resting: set[int] = set()  # blocks whose lists need no further round
 
     def codes(self, block: int, n: int) -> np.ndarray:
-        return (np.arange(n, dtype=np.uint64) + np.uint64(block << self.bits)).astype(self.kind)
+        return (np.arange(n, dtype=u64) + u64(block << self.bits)).astype(self.kind)
 
     def homes(self, codes: np.ndarray) -> np.ndarray:
         return (codes >> self.kind(self.bits)).astype(np.int32)
@@ -223,42 +286,44 @@ class Descent:
         home = self.homes(owner)
         for h in np.unique(home):
             at = np.flatnonzero(home == h)
-            # Only the best of each owner travel: a list has no more room.
             place, who, steps = self.places(owner[at]), other[at], q[at]
-            order, runs = ranked_once(place, who, steps)  # what several members found counts once
-            place, who, steps = place[order][runs], who[order][runs], steps[order][runs]
-            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            first = np.arange(len(place)) - np.repeat(start, np.diff(np.r_[start, len(place)])) < self.keep
-            place, who, steps = place[first], who[first], steps[first]
             if h == src:
                 own = (place, who, steps)
             else:
-                rows.append(("found", int(h), src, 0, packed(place=place.astype(np.uint32), other=who, q=steps)))
+                rows.append(("found", int(h), src, 0, 0, 0, packed(place=place.astype(np.uint32), other=who, q=steps)))
         return rows, own
 
-    def begin(self, block: int, ids: np.ndarray, half: np.ndarray, turned: np.ndarray) -> pa.Table:
-        """First lists within a block, and its vectors on their way to the blocks of the turned partitions."""
-        n = len(ids)
-        near, sims = leaf_lists(half.astype(np.float32), self.keep, self.leaf, self.trees, np.random.default_rng([self.seed, block]))
-        i, j = np.nonzero(near >= 0)
-        own = self.codes(block, n)
-        graph, q, new = best_lists(i, own[near[i, j]], quantized(sims[i, j]), np.ones(len(i), bool), n, self.keep)
-        rows = [("state", block, block, 0, packed(ids=ids, x=half, graph=graph, q=q, new=np.packbits(new)))]
-        for column in turned.T:
-            for to in np.unique(column):
-                at = column == to
-                rows.append(("turn", int(to), block, 0, packed(codes=own[at], x=half[at], worst=q[at, -1])))
-        return rows_table(rows)
-
-    def turn(self, table: pa.Table) -> pa.Table:
+    def begin(self, block: int, ids: np.ndarray, half: np.ndarray) -> pa.Table:
+        """First lists within a block."""
+        rng = np.random.default_rng([self.seed, block])
+        i, j, q = forest(half.astype(np.float32), self.keep, self.leaf, self.trees, rng).listed()
+        graph, q, new = best_lists(i, self.codes(block, len(ids))[j], q, np.ones(len(i), bool), len(ids), self.keep)
+        return rows_table([("state", block, block, 0, 0, 0, packed(ids=ids, x=half, graph=graph, q=q, new=np.packbits(new)))])
+
+    def turned(self, state_row: dict, block: int, to: np.ndarray) -> list[tuple]:
+        """The vectors of a block on their way to their blocks ``to`` of a turned partition."""
+        own, half, worst = self.codes(block, len(to)), state_row["x"], state_row["q"][:, -1]
+        rows = []
+        for h in np.unique(to):
+            at = to == h
+            rows.append(("turn", int(h), block, 0, 0, 0, packed(codes=own[at], x=half[at], worst=worst[at])))
+        return rows
+
+    def turn(self, table: pa.Table, turn: int) -> pa.Table:
         """Candidates among the vectors that share a block of a turned partition."""
         got = sorted(unpacked(table), key=lambda m: m["codes"][0])
         codes, worst, x = (np.concatenate([m[c] for m in got]) for c in ("codes", "worst", "x"))
-        dest = table["dest"][0].as_py()
-        near, sims = leaf_lists(x.astype(np.float32), self.keep, self.leaf, self.trees, np.random.default_rng([self.seed, dest, 1]))
-        i, j = np.nonzero((near >= 0) & (sims > above(worst)[:, None]))
-        rows, _ = self.found(codes[i], codes[near[i, j]], quantized(sims[i, j]), -1)
-        return rows_table(rows)
+        rng = np.random.default_rng([self.seed, table["dest"][0].as_py(), turn])
+        i, j, q = forest(x.astype(np.float32), self.keep, self.leaf, self.trees, rng, worst).listed()
+        return rows_table(self.found(codes[i], codes[j], q, -1)[0])
+
+    def hits(self, block: int, ids: np.ndarray, q: np.ndarray) -> tuple[int, int]:
+        """Listed and sought true neighbours of the sampled ids of this block."""
+        known, bar = self.probes.get(block, (np.zeros(0, np.int64), np.zeros((0, 2), np.int64)))
+        at = np.flatnonzero(np.isin(ids, known))
+        bar = bar[np.searchsorted(known, ids[at])]
+        reached = (q[at, : self.k] + 1 >= bar[:, :1]).sum(axis=1)  # equal vectors may differ by a step
+        return int(np.minimum(reached, bar[:, 1]).sum()), int(bar[:, 1].sum())
 
     def update(self, state_row: pa.Table, messages: pa.Table) -> pa.Table:
         """Merge candidates into a block's lists and send its vectors to the homes of their neighbours."""
@@ -269,35 +334,36 @@ class Descent:
         new = np.unpackbits(st["new"], count=n * k).astype(bool).reshape(n, k)
         own = self.codes(block, n)
         got = unpacked(messages)
-        i, j = np.nonzero(q > 0)
-        # Entries that wait for their first round keep their flag, though they were counted when they came.
-        owner = np.concatenate([i, *(m["place"].astype(np.int64) for m in got)])
-        other = np.concatenate([graph[i, j], *(m["other"] for m in got)])
-        steps = np.concatenate([q[i, j], *(m["q"] for m in got)])
-        fresh = np.concatenate([new[i, j], *(np.ones(len(m["q"]), bool) for m in got)])
-        graph, q, new = best_lists(owner, other, steps, fresh, n, k)
-        moved = int(new.sum())
-        half = st["x"]
-        worst = q[:, -1]
-        rows = [("state", block, block, moved, packed(ids=st["ids"], x=half, graph=graph, q=q))]
+        if got:
+            i, j = np.nonzero(q > 0)
+            # Entries that wait for their first round keep their flag, though they were counted when they came.
+            owner = np.concatenate([i, *(m["place"].astype(np.int64) for m in got)])
+            other = np.concatenate([graph[i, j], *(m["other"] for m in got)])
+            steps = np.concatenate([q[i, j], *(m["q"] for m in got)])
+            fresh = np.concatenate([new[i, j], *(np.ones(len(m["q"]), bool) for m in got)])
+            graph, q, new = best_lists(owner, other, steps, fresh, n, k)
+        half, worst = st["x"], q[:, -1]
+        state = {"ids": st["ids"], "x": half, "graph": graph, "q": q, "new": np.packbits(new)}
+        rows = [("state", block, block, int(new.sum()), *self.hits(block, st["ids"], q), packed(**state))]
+        if block in self.resting:
+            return rows_table(rows)
         # Forward edges go out with their flag; backward ones so that both ends see each other.
         edges, flags = [graph], [new]
         if "back" in st:
             edges.append(st["back"])
             flags.append(np.unpackbits(st["back_new"], count=st["back"].size).astype(bool).reshape(st["back"].shape))
         edges, flags = np.concatenate(edges, 1), np.concatenate(flags, 1)
-        home = np.where(edges != np.iinfo(self.kind).max, self.homes(edges), -1)
-        for h in np.unique(home[home >= 0]):
-            at = np.flatnonzero(home.ravel() == h)
-            who = at // edges.shape[1]
-            sent = np.zeros(n, bool)
-            sent[who] = True
-            body = {} if h == block else {"codes": own[sent], "x": half[sent], "worst": worst[sent]}
-            many = np.bincount(who, minlength=n)[sent].astype(np.uint8)
-            if h == block:
-                body = {"who": np.flatnonzero(sent).astype(np.uint32)}
-            place = self.places(edges.ravel()[at]).astype(np.uint16 if self.bits <= 16 else np.uint32)
-            rows.append(("push", int(h), block, 0, packed(many=many, place=place, flag=np.packbits(flags.ravel()[at]), **body)))
+        flat = np.flatnonzero(edges != self.empty)
+        home, who = self.homes(edges.ravel()[flat]), flat // edges.shape[1]
+        for h in np.unique(home):
+            at = home == h
+            names, to = who[at], flat[at]
+            many = np.bincount(names, minlength=n)
+            sent = np.flatnonzero(many)
+            place = self.places(edges.ravel()[to]).astype(np.uint16 if self.bits <= 16 else np.uint32)
+            body = {"who": sent.astype(np.uint32)} if h == block else {"codes": own[sent], "x": half[sent], "worst": worst[sent]}
+            mail = packed(many=many[sent].astype(np.uint8), place=place, flag=np.packbits(flags.ravel()[to]), **body)
+            rows.append(("push", int(h), block, 0, 0, 0, mail))
         return rows_table(rows)
 
     def join(self, state_row: pa.Table, messages: pa.Table) -> pa.Table:
@@ -310,9 +376,9 @@ class Descent:
         at, place, flag, base = [], [], [], n
         for m in sorted(unpacked(messages), key=lambda m: "who" in m or m["codes"][0]):
             if "who" in m:
-                names = m["who"].astype(np.int64)
+                names = m["who"].astype(np.int32)
             else:
-                names = base + np.arange(len(m["codes"]))
+                names = np.arange(base, base + len(m["codes"]), dtype=np.int32)
                 base += len(names)
                 codes.append(m["codes"])
                 worst.append(m["worst"])
@@ -320,78 +386,80 @@ class Descent:
             at.append(np.repeat(names, m["many"]))
             place.append(m["place"].astype(np.int64))
             flag.append(np.unpackbits(m["flag"], count=len(m["place"])).astype(bool))
-        codes, worst, x = np.concatenate(codes), above(np.concatenate(worst)), np.concatenate(x).astype(np.float32)
-        at, place, flag = np.concatenate(at), np.concatenate(place), np.concatenate(flag)
+        codes, worst, at, place, flag = map(np.concatenate, (codes, worst, at, place, flag)) if at else (codes[0], worst[0], *[np.zeros(0, int)] * 3)
+        # The entry after the last stands for no vector.
+        x = np.concatenate([*x, np.zeros_like(x[0][:1])]).astype(np.float32)
         # Of each member's list: new ones first, the rest in random order.
         rng = np.random.default_rng([self.seed, block, int(q.sum()) & 0xFFFFFFF])
-        order = np.argsort((place << 32) | ((~flag).astype(np.int64) << 31) | rng.integers(0, 1 << 31, len(place)))
-        at, place, flag = at[order], place[order], flag[order]
-        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
-        rank = np.arange(len(place)) - np.repeat(start, np.diff(np.r_[start, len(place)]))
+        key = (place.astype(u64) << u64(40)) | ((flag == 0).astype(u64) << u64(39)) | (rng.integers(0, 1 << 14, len(place)).astype(u64) << u64(25))
+        key = np.sort(key | at.astype(u64)) if base < 1 << 24 else key[:0]
+        place, flag, at = (key >> u64(40)).astype(np.int64), (key >> u64(39)) & u64(1) == 0, (key & u64((1 << 24) - 1)).astype(np.int32)
+        rank = ranks(place)
         width = 2 * self.sample
         few = rank < width
         at, place, flag, rank = at[few], place[few], flag[few], rank[few]
-        meet, fresh = np.full((n, width + 1), -1, np.int32), np.zeros((n, width + 1), bool)
+        size = width + 1
+        meet, fresh = np.full((n, size), base, np.int32), np.zeros((n, size), bool)
         meet[:, 0] = np.arange(n)
         meet[place, rank + 1], fresh[place, rank + 1] = at, flag
-        # The least similarity that is of use to an entry; none is for an empty one.
-        useful = np.append(worst, np.float32(9.0))
+        found = Candidates(base, self.keep, worst)
+        found.bar = np.append(found.bar, np.float32(9.0))  # nothing is of use to no vector
         busy = np.flatnonzero(fresh.any(1))
-        size = width + 1
-        apart = np.where(np.triu(np.ones((size, size), bool), 1), np.float32(0), np.float32(9))
-        owners, others, values = [], [], []
-        for lo in range(0, len(busy), 512):
-            part = busy[lo : lo + 512]
+        step = 64  # members a time: their products stay in the cache
+        z, turned = np.empty((step, size, x.shape[1]), np.float32), np.empty((step, x.shape[1], size), np.float32)
+        product, over, either = np.empty((step, size, size), np.float32), np.empty((step, size, size), bool), np.empty((step, size, size), bool)
+        diagonal = np.arange(size)
+        for lo in range(0, len(busy), step):
+            part = busy[lo : lo + step]
+            b = len(part)
             m, f = meet[part], fresh[part]
-            z = x[m]
-            s = z @ z.transpose(0, 2, 1)
-            w = useful[m]
-            s -= apart
-            hit = s > np.minimum(w[:, :, None], w[:, None, :])
-            hit &= f[:, :, None] | f[:, None, :]
-            flat = np.flatnonzero(hit)
-            r, ij = np.divmod(flat, size * size)
-            i, j = np.divmod(ij, size)
-            v = s.ravel()[flat]
-            for a, b in ((m[r, i], m[r, j]), (m[r, j], m[r, i])):
-                good = (v > useful[a]) & (a >= 0) & (b >= 0)
-                owners.append(a[good])
-                others.append(b[good])
-                values.append(v[good])
-        back = np.full((n, self.sample), np.iinfo(self.kind).max, self.kind)
+            s, hit, able = product[:b], over[:b], either[:b]
+            x.take(m, axis=0, out=z[:b], mode="clip")
+            np.copyto(turned[:b], z[:b].transpose(0, 2, 1))
+            np.matmul(z[:b], turned[:b], out=s)
+            s[:, diagonal, diagonal] = -3.0
+            np.greater(s, found.bar.take(m)[:, :, None], out=hit)
+            np.logical_or(f[:, :, None], f[:, None, :], out=able)
+            hit &= able
+            flat = np.flatnonzero(hit.reshape(-1))
+            row, j = np.divmod(flat, size)
+            owner, other = m.reshape(-1)[row], m[row // size, j]
+            good = (other != base) & (owner != other)
+            found.hold(owner[good], other[good], s.reshape(-1)[flat[good]])
         seen = meet[:, 1 : self.sample + 1]
-        back = np.where(seen >= 0, codes[seen], back)
+        back = np.append(codes, self.kind(self.empty))[seen]
         for lo in range(0, n, 4096):
             part = slice(lo, lo + 4096)
-            back[part][(back[part][:, :, None] == graph[part][:, None, :]).any(2)] = np.iinfo(self.kind).max
-        back_new = fresh[:, 1 : self.sample + 1] & (back != np.iinfo(self.kind).max)
-        rows, own = [], (np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, np.uint16))
-        if owners:
-            o, t, v = np.concatenate(owners), np.concatenate(others), quantized(np.concatenate(values))
-            differ = o != t
-            rows, own = self.found(codes[o[differ]], codes[t[differ]], v[differ], block)
+            back[part][(back[part][:, :, None] == graph[part][:, None, :]).any(2)] = self.empty
+        back_new = fresh[:, 1 : self.sample + 1] & (back != self.empty)
+        owner, other, steps = found.listed()
+        rows, own = self.found(codes[owner], codes[other], steps, block)
         i, j = np.nonzero(q > 0)
         graph, q, new = best_lists(
             np.concatenate([i, own[0]]), np.concatenate([graph[i, j], own[1]]), np.concatenate([q[i, j], own[2]]),
             np.concatenate([np.zeros(len(i), bool), np.ones(len(own[0]), bool)]), n, k,
         )
         state = packed(ids=st["ids"], x=st["x"], graph=graph, q=q, new=np.packbits(new), back=back, back_new=np.packbits(back_new))
-        return rows_table([("state", block, block, 0, state), *rows])
+        return rows_table([("state", block, block, 0, 0, 0, state), *rows])
 
 
-def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, dimension: int | None = None) -> DataFrame:
+def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, dimension: int | None = None, among: DataFrame | None = None) -> DataFrame:
     """``id, v``: one vector an id, with only finite entries, not all zero and of the given length (if given).
 
     Of several valid vectors of one id the smallest array by order of its entries is taken.  Null ids, null arrays and null
-    entries don't count.
+    entries don't count.  ``among`` (a column ``id``) limits the ids.
     """
     v = F.col(vector_col).cast("array<double>")
     least, most = F.array_min("v"), F.array_max("v")  # NaN is above infinity in Spark's order
     good = (least > float("-inf")) & (most < float("inf")) & ((least != 0) | (most != 0)) & ~F.exists("v", lambda e: e.isNull())
     if dimension:
         good = good & (F.size("v") == dimension)
-    kept = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & good)
-    several = stow(rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    named = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull())
+    if among is not None:
+        named = named.join(among, "id", "left_semi")
+    kept = named.filter(good)
+    # Only ids that come several times are compared, so that the others' vectors aren't shuffled.
+    several = stow(named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
     repeats = maybe_broadcast(several, several.count(), 40)
     once = kept.join(repeats, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
     return kept.join(repeats, "id", "left_anti").union(once)
@@ -432,21 +500,57 @@ def _release() -> None:
     SparkSession.getActiveSession().sparkContext._jvm.System.gc()  # lets Spark delete shuffle files of finished rounds
 
 
+def true_bars(points: DataFrame, parts: list[int], k: int, probes: int, seed: int) -> dict[int, dict[int, tuple[int, int]]]:
+    """For up to ``probes`` sampled ids a part (by order of a hash), the step of the true k-th similarity and the number of true
+    neighbours (k, or all others of a smaller table), from one scan of all vectors against the sample."""
+    sampled = {}
+    for p in parts:
+        rows = points.filter(F.col("part") == p).orderBy(F.xxhash64(F.lit(seed + 11), "id"), "id").limit(probes).select("id", "x").collect()
+        if rows:
+            ids = np.array([r["id"] for r in rows])
+            sampled[p] = ids, np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
+
+    def nearest(batches):
+        best = {p: np.zeros((len(ids), 0), np.uint16) for p, (ids, _) in sampled.items()}
+        for batch in batches:
+            part, own, raw = batch.column("part").to_numpy(), batch.column("id").to_numpy(), batch.column("x").to_pylist()
+            for p in np.unique(part):
+                ids, y = sampled[p]
+                rows = np.flatnonzero(part == p)
+                x = np.frombuffer(b"".join(raw[r] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+                s = quantized(y @ x.T)
+                s[ids[:, None] == own[rows][None, :]] = 0
+                s = np.concatenate([best[p], s], axis=1)
+                best[p] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :] if s.shape[1] > k else s
+        for p, (ids, _) in sampled.items():
+            i, j = np.nonzero(best[p])
+            columns = [np.full(len(i), p, np.int32), ids[i], best[p][i, j].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "id", "q"])
+
+    found = points.select("part", "id", "x").mapInArrow(nearest, "part int, id long, q int").toPandas()  # probes x k rows a task
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    for (p, i), own in found.groupby(["part", "id"])["q"]:
+        top = np.sort(own.to_numpy())[::-1][:k]
+        out.setdefault(int(p), {})[int(i)] = int(top[-1]), len(top)
+    return out
+
+
 def neighbour_graphs(
     tables: dict[str, DataFrame],
     k: int = 10,
     *,
+    target: float = 0.93,
+    probes: int = 256,
     keep: int = 20,
-    sample: int = 16,
-    rounds: int = 5,
-    stop_share: float = 0.01,
+    sample: int = 12,
+    leaf: int = 512,
+    trees: int = 10,
+    steps: int = 40,
     block_rows: int = BLOCK_ROWS,
     sample_rows: int = SAMPLE_ROWS,
-    leaf: int = 16_384,
-    trees: int = 2,
-    turns: int = 1,
     seed: int = 3,
     least: float | None = None,
+    log: list | None = None,
 ) -> DataFrame:
     """Approximately the ``k`` most similar vectors (cosine) of every vector, for several tables at once.
 
@@ -455,109 +559,154 @@ def neighbour_graphs(
     vector is its own neighbour.  Similarities are those of half-precision copies in steps of 3e-5 (error about 1e-4).  A table
     with one vector, or none, gives no rows for it.
 
-    Lists of ``keep`` neighbours start from random projection trees inside blocks of about ``block_rows`` vectors, first in a
-    coarse partition fitted on a bounded sample (``sample_rows``, or 64 a block) and then in ``turns`` others, so that blocks are
-    linked.  Then at most ``rounds`` rounds of NN-descent follow, until fewer than ``stop_share`` of all list entries are new.
-    All vectors take part; the bounds only say how many neighbours are kept and met in a round (``2 * sample`` at each vector,
-    new ones first).
+    Lists of ``keep`` neighbours start from ``trees`` random projection trees with leaves of ``leaf`` vectors, inside blocks of
+    about ``block_rows`` vectors of a coarse partition fitted on a bounded sample (``sample_rows``, or 64 a block).  Then steps
+    of two kinds follow: a round of NN-descent (at each vector up to ``2 * sample`` of those that list it or that it lists meet,
+    new ones first), or trees in the blocks of another, turned partition.  After every step the recall of each table is
+    measured on ``probes`` sampled vectors whose true neighbours are known from one scan of all vectors.  Steps go on until
+    it reaches ``target`` in every table, by whichever kind gained more the last time; a table that has reached it rests.  So the
+    effort grows with the difficulty and the number of the vectors.  At least one round of NN-descent is run.  The loop also
+    ends after ``steps`` steps or when neither kind gains 0.001; ``log``, if given, receives a dict a step (``step, kind, part,
+    recall, new``), so that a caller sees whether the target was reached.
 
     Of more than ``k + 1`` copies of one direction, only those of the ``k + 1`` smallest ids enter the graph: no other can be
     among anyone's first ``k``.  The others get the ``k`` smallest ids of their own copies.  With ``least``, only neighbours of
     about that similarity or more are listed.
     """
+    keep = max(keep, k)
     parts = [df.select(F.lit(p).alias("part"), "id", "v") for p, df in enumerate(tables.values())]
     units = reduce(DataFrame.union, parts).mapInArrow(unit_batches, "part int, id long, x binary, h1 long, h2 long")
     points = stow(units, compression="uncompressed")
-    copied = points.groupBy("part", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).drop("n")
+    copied = stow(points.groupBy("part", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).drop("n"))
     shadows, core = None, points
     if copied.limit(1).count():
-        copied = stow(copied)
         order = Window.partitionBy("part", "h1", "h2").orderBy("id")
         among = points.select("part", "h1", "h2", "id").join(copied, ["part", "h1", "h2"], "left_semi")
         firsts = stow(among.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1))
         shadows = stow(among.join(firsts.select("part", "id"), ["part", "id"], "left_anti"))
         core = points.join(shadows.select("part", "id"), ["part", "id"], "left_anti")
     counts = {r["part"]: r["n"] for r in core.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    trees_of, first_block, total = {}, {}, 0
+    first_block, blocks_of, samples, total = {}, {}, {}, 0
     for p in sorted(counts):
-        blocks = -(-counts[p] // block_rows)
+        blocks_of[p] = -(-counts[p] // block_rows)
         chosen = core.filter(F.col("part") == p).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-        chosen = chosen.limit(max(sample_rows, SAMPLE_PER_BLOCK * blocks)) if blocks > 1 else chosen.limit(1)
-        sampled = np.stack([np.frombuffer(r["x"], np.float16) for r in chosen.select("x").collect()]).astype(np.float64)
-        trees_of[p] = [fit_partition(sampled, blocks, [seed, p, r]) for r in range(turns + 1)]
-        first_block[p], total = total, total + blocks
+        chosen = chosen.limit(max(sample_rows, SAMPLE_PER_BLOCK * blocks_of[p]) if blocks_of[p] > 1 else 1)
+        samples[p] = np.stack([np.frombuffer(r["x"], np.float16) for r in chosen.select("x").collect()]).astype(np.float64)
+        first_block[p], total = total, total + blocks_of[p]
+    part_of = np.repeat(sorted(counts), [blocks_of[p] for p in sorted(counts)])
+
+    def partitions(turn: int) -> dict[int, list[tuple]]:
+        return {p: fit_partition(samples[p], blocks_of[p], [seed, p, turn]) for p in counts}
+
+    home = partitions(0)
 
     def place(batches):
-        """Home block and turned blocks of each vector."""
+        """Home block of each vector."""
         for batch in batches:
             part = batch.column("part").to_numpy()
             if not len(part):
                 continue
             raw = batch.column("x").to_pylist()
-            home, turned = np.zeros(len(part), np.int32), np.zeros((len(part), turns), np.int32)
+            at = np.zeros(len(part), np.int32)
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
                 x = np.frombuffer(b"".join(raw[r] for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-                home[rows] = first_block[p] + leaf_of(trees_of[p][0], x)
-                for r in range(turns):
-                    turned[rows, r] = (r + 1) * total + first_block[p] + leaf_of(trees_of[p][r + 1], x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(home), batch.column("id"), batch.column("x"), pa.array([t.tobytes() for t in turned], pa.binary())],
-                names=["block", "id", "x", "turned"],
-            )
-
-    placed = stow(core.select("part", "id", "x").mapInArrow(place, "block int, id long, x binary, turned binary"), compression="uncompressed")
+                at[rows] = first_block[p] + leaf_of(home[p], x)
+            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("id"), batch.column("x")], names=["block", "id", "x"])
+
+    placed = stow(core.select("part", "id", "x").mapInArrow(place, "block int, id long, x binary"), compression="uncompressed")
+    bars = true_bars(core, sorted(counts), k, probes, seed)
     if shadows is None:
         discard(points)
     largest = placed.groupBy("block").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     bits = max(1, int(largest - 1).bit_length())
-    descent = Descent(keep, sample, leaf, trees, seed, bits, (total + 1) << bits > 1 << 32)
+    descent = Descent(k, keep, sample, leaf, trees, seed, bits, total << bits > 1 << 32)
+    for b, p in enumerate(part_of):
+        known = sorted(bars.get(p, {}))
+        descent.probes[b] = np.array(known, np.int64), np.array([bars[p][i] for i in known], np.int64).reshape(-1, 2)
 
     def begin(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids = table["id"].to_numpy()
         x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float16).reshape(len(ids), -1)
-        turned = np.frombuffer(b"".join(table["turned"].to_pylist()), np.int32).reshape(len(ids), -1)
-        return descent.begin(table["block"][0].as_py(), ids, x, turned)
+        return descent.begin(table["block"][0].as_py(), ids, x)
 
-    def step(held: DataFrame, kernel, sent: DataFrame | None = None) -> DataFrame:
-        """A block's state meets the messages to it: both are read in place from the block's bucket; messages that were
-        ``sent`` in a table of their own are shuffled by block."""
+    def keep_blocks(df: DataFrame) -> DataFrame:
+        if total > 256:  # one file a bucket; with few blocks the files are few anyway and the shuffle is saved
+            df = df.repartition(total, "dest")
+        return stow(df, compression="uncompressed", buckets=(max(1, total), "dest"))
+
+    def apart(kernel):
+        """A block's state meets the messages to it: both are read in place from the block's bucket."""
 
         def together(table: pa.Table) -> pa.Table:
             state = np.asarray(table["kind"].to_pylist()) == "state"
             return kernel(table.filter(pa.array(state)), table.filter(pa.array(~state)))
 
-        def apart(key, state: pa.Table, mail: pa.Table) -> pa.Table:
-            return kernel(state, mail if mail.num_columns else rows_table([]))
+        return together
+
+    def met(key, state: pa.Table, mail: pa.Table) -> pa.Table:
+        return descent.update(state, mail if mail.num_columns else rows_table([]))
+
+    def turn_round(held: DataFrame, turn: int) -> DataFrame:
+        trees_of = partitions(turn)
 
-        if sent is None:
-            return keep_blocks(held.groupBy("dest").applyInArrow(together, ROW))
+        def send(batches):
+            for batch in batches:
+                for raw, block in zip(batch.column("payload"), batch.column("dest").to_pylist()):
+                    if block not in descent.resting:
+                        p = part_of[block]
+                        st = pickle.loads(raw.as_buffer())
+                        to = first_block[p] + leaf_of(trees_of[p], st["x"].astype(np.float32))
+                        yield from rows_table(descent.turned(st, block, to)).to_batches()
+
+        mail = held.filter("kind = 'state'").select("dest", "payload").mapInArrow(send, ROW)
+        wide = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        mail = mail.repartition(min(3 * total, max(wide, total)), "dest")  # a block a task, nearly: each is heavy for its bytes
+        sent = stow(mail.groupBy("dest").applyInArrow(lambda t: descent.turn(t, turn), ROW), compression="uncompressed")
         pairs = held.filter("kind = 'state'").groupBy("dest").cogroup(sent.groupBy("dest"))
-        return keep_blocks(pairs.applyInArrow(apart, ROW))
+        out = keep_blocks(pairs.applyInArrow(met, ROW))
+        discard(sent)
+        return out
 
-    def keep_blocks(df: DataFrame) -> DataFrame:
-        return stow(df, compression="uncompressed", buckets=(max(1, total), "dest"))
+    def join_round(held: DataFrame) -> DataFrame:
+        def kernel(state: pa.Table, mail: pa.Table) -> pa.Table:
+            return state if state["dest"][0].as_py() in descent.resting else descent.join(state, mail)
+
+        joined = keep_blocks(held.groupBy("dest").applyInArrow(apart(kernel), ROW))
+        out = keep_blocks(joined.groupBy("dest").applyInArrow(apart(descent.update), ROW))
+        discard(joined)
+        return out
 
     held = keep_blocks(placed.groupBy("block").applyInArrow(begin, ROW))
     discard(placed)
-    turned = held.filter("kind = 'turn'").groupBy("dest").applyInArrow(lambda table: descent.turn(table), ROW)
-    sent = stow(turned, compression="uncompressed") if turns else None
-    entries = sum(counts.values()) * keep
-    for r in range(max(1, rounds) + 1):
-        updated = step(held, lambda s, m: descent.update(s, m), sent)
-        discard(held)
-        if sent is not None:
-            discard(sent)
-            sent = None
-        _release()
-        moved = updated.filter("kind = 'state'").agg(F.sum("moved")).first()[0] or 0
-        if r == rounds or moved <= stop_share * entries:
+    recall = dict.fromkeys(counts, 0.0)
+    gain, joins, turns = {"turn": 1.0, "join": 1.0}, 0, 0
+    for step in range(steps if total else 0):
+        below = {p for p, x in recall.items() if x < target}
+        if joins and (not below or max(gain.values()) < 1e-3):
             break
-        held = step(updated, lambda s, m: descent.join(s, m))
-        discard(updated)
+        resting = set(recall) - below if below else set()
+        descent.resting = {b for b, p in enumerate(part_of) if p in resting}
+        kind = "turn" if gain["turn"] > gain["join"] or not turns else "join"
+        if not below:
+            kind = "join"
+        turns, joins = turns + (kind == "turn"), joins + (kind == "join")
+        advanced = turn_round(held, turns) if kind == "turn" else join_round(held)
+        discard(held)
+        held = advanced
         _release()
-    state = updated
+        shown = held.filter("kind = 'state'").groupBy("dest").agg(F.sum("hits").alias("h"), F.sum("sought").alias("s"), F.sum("moved").alias("m"))
+        got = {p: np.zeros(3) for p in counts}
+        for r in shown.collect():  # a row a block
+            got[part_of[r["dest"]]] += [r["h"], r["s"], r["m"]]
+        before = dict(recall)
+        recall = {p: float(x[0] / x[1]) if x[1] else 1.0 for p, x in got.items()}
+        if step:
+            gain[kind] = max((recall[p] - before[p] for p in below), default=0.0)
+        if log is not None:
+            names = list(tables)
+            log += [{"step": step, "kind": kind, "part": names[p], "recall": recall[p], "new": int(got[p][2])} for p in sorted(counts)]
 
     lowest = np.uint16(0) if least is None else quantized(np.array([least - 1e-3]))[0]
 
@@ -566,7 +715,7 @@ def neighbour_graphs(
             for raw, block in zip(batch.column("payload"), batch.column("dest").to_pylist()):
                 st = pickle.loads(raw.as_buffer())
                 # The first k and what ties with the last of them; of a least similarity, only what reaches it.
-                bar = np.maximum(st["q"][:, min(k, keep) - 1 : min(k, keep)], lowest)
+                bar = np.maximum(st["q"][:, k - 1 : k], lowest)
                 i, j = np.nonzero((st["q"] > 0) & (st["q"] >= bar))
                 sims = st["q"][i, j].astype(np.float64) / STEPS - 1
                 columns = [st["ids"][i], st["graph"][i, j].astype(np.int64), sims, np.full(len(i), block, np.int32)]
@@ -582,7 +731,7 @@ def neighbour_graphs(
                     [pa.array(descent.codes(block, len(ids)).astype(np.int64)), pa.array(ids)], names=["code", "neighbour"]
                 )
 
-    states = state.filter("kind = 'state'").select("dest", "payload")
+    states = held.filter("kind = 'state'").select("dest", "payload")
     edges = states.mapInArrow(listed, "id long, code long, similarity double, block int")
     names = states.mapInArrow(named, "code long, neighbour long")
     part = F.lit(None).cast("string")
@@ -599,44 +748,111 @@ def neighbour_graphs(
     return graph.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(tables: dict[str, DataFrame], graph: DataFrame, least: float) -> DataFrame:
-    """Pairs ``part, id_a < id_b, similarity`` of the graph whose exact cosine similarity is at least ``least``."""
+def similar_pairs(tables: dict[str, DataFrame], graph: DataFrame, least: float, id_col: str, vector_col: str, dimension: int | None = None) -> DataFrame:
+    """Pairs ``part, id_a < id_b, similarity`` of the graph whose exact cosine similarity is at least ``least``.
+
+    ``tables`` are the raw tables; only the vectors of ids in some pair are read from them, as by :func:`valid_vectors`.
+    """
     near = graph.filter(F.col("similarity") >= least - 1e-3)
-    pairs = near.select("part", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
-    pairs = stow(pairs)
-    ids = pairs.select("part", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    ids = maybe_broadcast(ids, 2 * pairs.count(), 64)
-    vectors = reduce(DataFrame.union, (df.select(F.lit(p).alias("part"), "id", "v") for p, df in tables.items()))
-    vectors = vectors.join(ids, ["part", "id"], "left_semi")
-    for side in ("a", "b"):
-        pairs = pairs.join(vectors.select("part", F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}")), ["part", f"id_{side}"])
-    cosine = dot("v_a", "v_b") / F.sqrt(dot("v_a", "v_a") * dot("v_b", "v_b"))
-    return pairs.select("part", "id_a", "id_b", cosine.alias("similarity")).filter(F.col("similarity") >= least)
+    pairs = stow(near.select("part", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct())
+    n = pairs.count()
+    found = []
+    for part, rows in tables.items():
+        own = pairs.filter(F.col("part") == part)
+        ids = maybe_broadcast(own.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), 2 * n, 24)
+        vectors = valid_vectors(rows, id_col, vector_col, dimension, ids)
+        for side in ("a", "b"):
+            own = own.join(vectors.select(F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}")), f"id_{side}")
+        cosine = dot("v_a", "v_b") / F.sqrt(dot("v_a", "v_a") * dot("v_b", "v_b"))
+        found.append(own.select("part", "id_a", "id_b", cosine.alias("similarity")).filter(F.col("similarity") >= least))
+    return reduce(DataFrame.union, found)
+
+
+def exact_neighbours(tables: dict[str, DataFrame], k: int, asked, *, query_block: int = 4_096, block: int = 65_536) -> DataFrame:
+    """The true ``k`` most similar other vectors of the ``asked`` ids (a function of the id column), against all vectors.
+
+    A yardstick for recall: every block of queries meets every block of vectors, which is quadratic if the queries grow with the
+    table.  Result: ``part, id, neighbour, similarity, rank``, ordered as in :func:`neighbour_graphs`.
+    """
+    parts = [df.select(F.lit(p).alias("part"), "id", "v") for p, df in enumerate(tables.values())]
+    points = stow(reduce(DataFrame.union, parts).mapInArrow(unit_batches, "part int, id long, x binary, h1 long, h2 long"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = b"".join(table["x"].to_pylist())
+        return pa.table({"part": table["part"][:1], "ids": pa.array([table["id"].to_numpy().tobytes()], pa.binary()), "x": pa.array([x], pa.binary())})
+
+    def packs(df: DataFrame, rows: int) -> DataFrame:
+        n = max(1, -(-df.count() // rows))
+        spot = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(n))
+        return stow(df.groupBy("part", spot.alias("spot")).applyInArrow(pack, "part int, ids binary, x binary"))
+
+    asking, held = packs(points.filter(asked(F.col("id"))), query_block), packs(points, block)
+    met = asking.select("part", F.col("ids").alias("a"), F.col("x").alias("y")).join(held, "part")
+    met = met.repartition(max(1, asking.count() * held.count()))
+
+    def nearest(batches):
+        for batch in batches:
+            for part, a, y, ids, x in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "y", "ids", "x"))):
+                a, ids = np.frombuffer(a, np.int64), np.frombuffer(ids, np.int64)
+                y = np.frombuffer(y, np.float16).reshape(len(a), -1).astype(np.float32)
+                across = np.ascontiguousarray(np.frombuffer(x, np.float16).reshape(len(ids), -1).astype(np.float32).T)
+                for lo in range(0, len(a), 256):
+                    s = y[lo : lo + 256] @ across
+                    s[a[lo : lo + 256, None] == ids[None, :]] = -3.0
+                    c = min(k + 1, s.shape[1])
+                    bar = np.partition(s, s.shape[1] - c, axis=1)[:, s.shape[1] - c]
+                    i, j = np.nonzero((s >= bar[:, None]) & (s > -2))  # with whatever ties
+                    columns = [np.full(len(i), part, np.int32), a[lo + i], ids[j], quantized(s[i, j]).astype(np.float64) / STEPS - 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "id", "neighbour", "similarity"])
+
+    found = met.mapInArrow(nearest, "part int, id long, neighbour long, similarity double")
+    order = Window.partitionBy("part", "id").orderBy(F.desc("similarity"), "neighbour")
+    label = F.element_at(F.array(*(F.lit(x) for x in tables)), F.col("part") + 1)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("part", label)
+
+
+def recall_of(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``part, n_queries, recall``: the share of the pairs (id, neighbour) of ``truth`` that are in ``found``."""
+    both = truth.join(found.select("part", "id", "neighbour", F.lit(1).alias("hit")), ["part", "id", "neighbour"], "left")
+    return both.groupBy("part").agg(F.countDistinct("id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
 def greedy_search(
-    graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, *, beam: int = 32, steps: int = 6, entries: int = 64, seed: int = 5
+    graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, *, beam: int = 48, fan: int = 12, steps: int = 12, entries: int = 64, seed: int = 5
 ) -> DataFrame:
     """The ``k`` most similar indexed vectors of each query vector by greedy search on a neighbour graph.
 
     ``graph`` has ``id, neighbour``; ``vectors`` and ``queries`` have ``id, v``.  Every query starts from the same ``entries``
-    vectors (by order of a hash), and in each of ``steps`` steps the neighbours of its ``beam`` best vectors so far are joined
-    in; both directions of an edge are followed.  All queries advance in one join per step.  Result: ``query, id, similarity,
-    rank``; null-free inputs as from :func:`valid_vectors`.  Empty inputs give no rows.
+    vectors (by order of a hash).  In each of ``steps`` steps the neighbours of the ``fan`` best vectors of its ``beam`` that were
+    not followed yet are joined in; both directions of an edge are followed, and a query whose beam was followed whole is done.
+    All queries advance in one join per step.  Result: ``query, id, similarity, rank``; null-free inputs as from
+    :func:`valid_vectors`.  Empty inputs give no rows.
     """
     unit = lambda v: F.transform(v, lambda e: e / norm(v))
     index = stow(vectors.select("id", unit(F.col("v")).alias("x")))
     asked = stow(queries.select(F.col("id").alias("query"), unit(F.col("v")).alias("y")))
     links = stow(graph.select("id", "neighbour").union(graph.select(F.col("neighbour"), F.col("id"))).distinct())
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    waiting = Window.partitionBy("query", "followed").orderBy(F.desc("similarity"), "id")
+
+    def advance(rows: DataFrame) -> DataFrame:
+        """The beam of each query, its next vectors to follow marked."""
+        kept = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r")
+        go = (~F.col("followed")) & (F.row_number().over(waiting) <= fan)
+        return stow(kept.withColumn("go", go))
+
     start = index.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(entries)
     scored = asked.join(F.broadcast(start)).select("query", "id", dot(F.col("x"), F.col("y")).alias("similarity"))  # a fixed few rows
-    held = stow(scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r"))
+    held = advance(scored.withColumn("followed", F.lit(False)))
     for _ in range(steps):
-        near = held.join(links, "id").select("query", F.col("neighbour").alias("id")).distinct()
+        going = held.filter("go")
+        if not going.limit(1).count():
+            break
+        near = going.join(links, "id").select("query", F.col("neighbour").alias("id")).distinct()
         fresh = near.join(held.select("query", "id"), ["query", "id"], "left_anti").join(index, "id").join(asked, "query")
-        both = held.union(fresh.select("query", "id", dot(F.col("x"), F.col("y")).alias("similarity")))
-        advanced = stow(both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).drop("r"))
+        fresh = fresh.select("query", "id", dot(F.col("x"), F.col("y")).alias("similarity"), F.lit(False).alias("followed"))
+        both = held.select("query", "id", "similarity", (F.col("followed") | F.col("go")).alias("followed")).union(fresh)
+        advanced = advance(both)
         discard(held)
         held = advanced
-    return held.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return held.select("query", "id", "similarity", F.row_number().over(best).alias("rank")).filter(F.col("rank") <= k)

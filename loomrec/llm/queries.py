@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomrec.llm.cooccurrence import cooccurring_items
 from loomrec.llm.group_topn import top_n_of_sums
 from loomrec.llm.heavy_hitters import frequent_values
 from loomrec.llm.mixing import mix_sources, short_sources
-from loomrec.llm.nn_graph import neighbour_graphs, similar_pairs, valid_vectors
+from loomrec.llm.nn_graph import exact_neighbours, greedy_search, neighbour_graphs, recall_of, similar_pairs, valid_vectors
 from loomrec.llm.packing import pack_documents
 from loomrec.llm.set_join import similar_sets
 from loomrec.llm.splitting import split_oversized
+from loomrec.scratch import stow
 from loomrec.sources.tables import table
 
 
@@ -54,14 +56,17 @@ def p3_best_items(spark: SparkSession, sf: str) -> DataFrame:
     return _best_items(spark, sf).select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_SIDES = ("item", "user")
+
+
 def _factor_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {side: valid_vectors(table(spark, sf, f"{side}_factors"), "id", "factors", 32) for side in ("item", "user")}
+    return {side: valid_vectors(table(spark, sf, f"{side}_factors"), "id", "factors", 32) for side in _SIDES}
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    tables = _factor_tables(spark, sf)
-    graph = neighbour_graphs(tables, 10, least=0.95)
-    return similar_pairs(tables, graph, 0.95).select(F.col("part").alias("side"), "id_a", "id_b")
+    graph = neighbour_graphs(_factor_tables(spark, sf), 10, least=0.95)
+    raw = {side: table(spark, sf, f"{side}_factors") for side in _SIDES}
+    return similar_pairs(raw, graph, 0.95, "id", "factors", 32).select(F.col("part").alias("side"), "id_a", "id_b")
 
 
 def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +74,42 @@ def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return graph.select(F.col("part").alias("side"), "id", "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
 
 
+def _every_20th(key: Column) -> Column:
+    return key % 20 == 0
+
+
+def _reached(recall: DataFrame) -> DataFrame:
+    return recall.select(F.col("part").alias("side"), "n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the graph lists at least 0.9 of the 10 true neighbours of the ids divisible by 20, against all vectors."""
+    tables = _factor_tables(spark, sf)
+    return _reached(recall_of(neighbour_graphs(tables, 10), exact_neighbours(tables, 10, _every_20th)))
+
+
+def _searched(tables: dict[str, DataFrame]) -> DataFrame:
+    graph, found = stow(neighbour_graphs(tables, 10)), []
+    for side, vectors in tables.items():
+        asked = vectors.filter(_every_20th(F.col("id")))
+        near = greedy_search(graph.filter(F.col("part") == side), vectors, asked, 11).filter("query <> id")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+        near = near.select(F.lit(side).alias("part"), F.col("query"), "id", "similarity", rank.alias("rank"))
+        found.append(near.filter("rank <= 10").select("part", F.col("query").alias("id"), F.col("id").alias("neighbour"), "similarity", "rank"))
+    return reduce(DataFrame.union, found)
+
+
+def p4_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = _searched(_factor_tables(spark, sf))
+    return found.select(F.col("part").alias("side"), "id", "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
+
+
+def p4_search_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether greedy search finds at least 0.9 of the 10 true neighbours of the ids divisible by 20."""
+    tables = _factor_tables(spark, sf)
+    return _reached(recall_of(_searched(tables), exact_neighbours(tables, 10, _every_20th)))
+
+
 def _user_sets(spark: SparkSession, sf: str):
     return similar_sets(table(spark, sf, "triplets"), "user_id", "item_id", threshold=0.7, min_size=10)
 
@@ -115,7 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p6_found, p6_pairs, p7_pack,
+            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p4_recall, p4_search, p4_search_recall, p6_found, p6_pairs, p7_pack,
             p8_found, p8_report, p8_mix, p9_found, p9_pieces,
         )
     }
@@ -149,6 +190,10 @@ WITH g AS (SELECT id, min(factors) AS v FROM {side}_factors WHERE len(factors) =
 SELECT DISTINCT least(p, q) AS id_a, greatest(p, q) AS id_b FROM r WHERE k <= 10 AND s >= 0.95)
 """
 
+_GOOD = """SELECT '{side}' AS side, count(DISTINCT id) AS n_queries, true AS reached FROM {side}_factors
+WHERE id % 20 = 0 AND len(factors) = 32 AND len(list_filter(factors, lambda e: e IS NOT NULL AND isfinite(e))) = 32
+AND len(list_filter(factors, lambda e: e <> 0)) > 0"""
+
 _SETS = """
 WITH d AS (SELECT DISTINCT user_id, item_id FROM triplets WHERE user_id IS NOT NULL AND item_id IS NOT NULL),
  n AS (SELECT user_id, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 10),
@@ -170,7 +215,9 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY n DESC, item_id LIMIT 1000""",
         "p3_found": f"{_SUMS} SELECT user_id, item_id FROM r WHERE rank <= 5",
         "p3_best_items": f"{_SUMS} SELECT user_id, item_id, score, rank FROM r WHERE rank <= 5",
-        "p4_found": " UNION ALL ".join(_NEAR.format(side=side) for side in ("item", "user")),
+        "p4_found": " UNION ALL ".join(_NEAR.format(side=side) for side in _SIDES),
+        "p4_recall": " UNION ALL ".join(_GOOD.format(side=side) for side in _SIDES),
+        "p4_search_recall": " UNION ALL ".join(_GOOD.format(side=side) for side in _SIDES),
         "p6_found": f"{_SETS} SELECT a AS user_a, b AS user_b FROM j WHERE jaccard >= 0.7 - 1e-12",
         "p6_pairs": f"{_SETS} SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.7 - 1e-12",
     }

@@ -1,6 +1,6 @@
 import numpy as np
 
-from loomrec.llm.nn_graph import greedy_search, neighbour_graphs, similar_pairs, valid_vectors
+from loomrec.llm.nn_graph import best_lists, exact_neighbours, greedy_search, neighbour_graphs, recall_of, similar_pairs, valid_vectors
 
 
 def frame(spark, x, first=1):
@@ -27,8 +27,10 @@ def test_recall_in_one_and_several_blocks(spark):
     want, _ = true_lists(x, 10)
     df = frame(spark, x)
     assert recall(neighbour_graphs({"a": df}, 10), want) > 0.99  # half precision swaps near ties
-    several = neighbour_graphs({"a": df}, 10, block_rows=300, leaf=64, trees=1)
+    log = []
+    several = neighbour_graphs({"a": df}, 10, block_rows=300, leaf=64, trees=2, log=log)
     assert recall(several, want) > 0.9
+    assert {"turn", "join"} <= {x["kind"] for x in log} and log[-1]["recall"] >= 0.93
     assert several.groupBy("id").count().filter("count <> 10").count() == 0
     assert several.filter("id = neighbour").count() == 0
 
@@ -41,7 +43,7 @@ def test_two_tables_and_pairs(spark):
     tables = {"item": frame(spark, x), "user": frame(spark, y, 1)}
     graph = neighbour_graphs(tables, 5, block_rows=60, leaf=32)
     _, s = true_lists(x, 5)
-    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(tables, graph, 0.95).filter("part = 'item'").collect()}
+    got = {(r["id_a"], r["id_b"]) for r in similar_pairs(tables, graph, 0.95, "id", "v").filter("part = 'item'").collect()}
     want = {(i + 1, j + 1) for i in range(200) for j in range(i + 1, 200) if s[i, j] >= 0.95}
     assert got == want and {(i + 1, i + 51) for i in range(10)} <= got
     assert {r["id"] for r in graph.filter("part = 'user'").collect()} == set(range(1, 91))
@@ -74,10 +76,33 @@ def test_greedy_search(spark):
     rng = np.random.default_rng(3)
     x, q = rng.normal(size=(800, 8)), rng.normal(size=(20, 8))
     df = frame(spark, x)
-    found = greedy_search(neighbour_graphs({"a": df}, 10), df, frame(spark, q), 5, beam=24, steps=6).collect()
+    found = greedy_search(neighbour_graphs({"a": df}, 10), df, frame(spark, q), 5, beam=24, fan=6).collect()
     u, w = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
     want = np.argsort(-(w @ u.T), axis=1)[:, :5] + 1
     got = {}
     for r in found:
         got.setdefault(r["query"], set()).add(r["id"])
     assert np.mean([len(got[k + 1] & set(t)) / 5 for k, t in enumerate(want.tolist())]) >= 0.9
+
+
+def test_exact_neighbours_and_recall(spark):
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    want, _ = true_lists(x, 5)
+    df = frame(spark, x)
+    truth = exact_neighbours({"a": df}, 5, lambda i: i % 3 == 0, query_block=40, block=90)
+    got = {}
+    for r in truth.collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    assert set(got) == set(range(3, 301, 3))
+    assert np.mean([len(got[i] & set(want[i - 1])) / 5 for i in got]) > 0.98  # half precision swaps near ties
+    row = recall_of(truth, truth).first()
+    assert (row["part"], row["n_queries"], row["recall"]) == ("a", 100, 1.0)
+
+
+def test_lists_keep_one_copy_of_a_code_and_wide_codes():
+    owner, other = np.array([0, 0, 0, 1, 0]), np.array([7, 7, 9, 7, 8], np.uint64)
+    q, new = np.array([100, 101, 50, 3, 90], np.uint16), np.array([False, True, True, True, True])
+    for kind in (np.uint32, np.uint64):
+        codes, steps, flags = best_lists(owner, other.astype(kind), q, new, 2, 4)
+        assert steps.tolist() == [[101, 90, 50, 0], [3, 0, 0, 0]] and codes[0, :3].tolist() == [7, 8, 9]
+        assert flags.tolist() == [[False, True, True, False], [True, False, False, False]]
