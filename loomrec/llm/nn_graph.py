@@ -270,6 +270,7 @@ class Descent:
         self.empty = np.iinfo(self.kind).max
         self.probes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.resting: set[int] = set()  # blocks whose lists need no further round
+        self.send = True  # whether an update is followed by a round of descent
 
     def codes(self, block: int, n: int) -> np.ndarray:
         return (np.arange(n, dtype=u64) + u64(block << self.bits)).astype(self.kind)
@@ -345,7 +346,7 @@ class Descent:
         half, worst = st["x"], q[:, -1]
         state = {"ids": st["ids"], "x": half, "graph": graph, "q": q, "new": np.packbits(new)}
         rows = [("state", block, block, int(new.sum()), *self.hits(block, st["ids"], q), packed(**state))]
-        if block in self.resting:
+        if block in self.resting or not self.send:
             return rows_table(rows)
         # Forward edges go out with their flag; backward ones so that both ends see each other.
         edges, flags = [graph], [new]
@@ -456,7 +457,7 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, dimension: int
         good = good & (F.size("v") == dimension)
     named = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull())
     if among is not None:
-        named = named.join(among, "id", "left_semi")
+        named = stow(named.join(among, "id", "left_semi"))
     kept = named.filter(good)
     # Only ids that come several times are compared, so that the others' vectors aren't shuffled.
     several = stow(named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
@@ -681,16 +682,14 @@ def neighbour_graphs(
     held = keep_blocks(placed.groupBy("block").applyInArrow(begin, ROW))
     discard(placed)
     recall = dict.fromkeys(counts, 0.0)
-    gain, joins, turns = {"turn": 1.0, "join": 1.0}, 0, 0
+    # The kind of a step is settled a step ahead: only before a round of descent an update sends vectors to their neighbours.
+    gain, kind, after, joins, turns = {"turn": 1.0, "join": 1.0}, "turn", "join", 0, 0
     for step in range(steps if total else 0):
         below = {p for p, x in recall.items() if x < target}
         if joins and (not below or max(gain.values()) < 1e-3):
             break
         resting = set(recall) - below if below else set()
-        descent.resting = {b for b, p in enumerate(part_of) if p in resting}
-        kind = "turn" if gain["turn"] > gain["join"] or not turns else "join"
-        if not below:
-            kind = "join"
+        descent.resting, descent.send = {b for b, p in enumerate(part_of) if p in resting}, after == "join"
         turns, joins = turns + (kind == "turn"), joins + (kind == "join")
         advanced = turn_round(held, turns) if kind == "turn" else join_round(held)
         discard(held)
@@ -704,9 +703,11 @@ def neighbour_graphs(
         recall = {p: float(x[0] / x[1]) if x[1] else 1.0 for p, x in got.items()}
         if step:
             gain[kind] = max((recall[p] - before[p] for p in below), default=0.0)
+        done, kind = kind, after
+        after = "turn" if gain["turn"] >= gain["join"] else "join"
         if log is not None:
             names = list(tables)
-            log += [{"step": step, "kind": kind, "part": names[p], "recall": recall[p], "new": int(got[p][2])} for p in sorted(counts)]
+            log += [{"step": step, "kind": done, "part": names[p], "recall": recall[p], "new": int(got[p][2])} for p in sorted(counts)]
 
     lowest = np.uint16(0) if least is None else quantized(np.array([least - 1e-3]))[0]
 
@@ -760,7 +761,7 @@ def similar_pairs(tables: dict[str, DataFrame], graph: DataFrame, least: float,
     for part, rows in tables.items():
         own = pairs.filter(F.col("part") == part)
         ids = maybe_broadcast(own.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), 2 * n, 24)
-        vectors = valid_vectors(rows, id_col, vector_col, dimension, ids)
+        vectors = stow(valid_vectors(rows, id_col, vector_col, dimension, ids))
         for side in ("a", "b"):
             own = own.join(vectors.select(F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}")), f"id_{side}")
         cosine = dot("v_a", "v_b") / F.sqrt(dot("v_a", "v_a") * dot("v_b", "v_b"))
