@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.operators.skew import hot_keys, per_key_results
+from loomrec.operators.skew import hot_keys, per_key_results, universe_results
 from loomrec.sources.tables import table
 
 
@@ -15,7 +15,9 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return hot_keys(_results(spark, sf), 0.02).select("key_field", "key_id")
+    universes = {"user_id": table(spark, sf, "users"), "item_id": table(spark, sf, "items")}
+    joined = universe_results(table(spark, sf, "triplets"), universes)
+    return hot_keys(joined, 0.02, "n_valid").select("key_field", "key_id")
 
 
 def p5_per_key(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,17 +102,28 @@ def per_key_results(
     return reduce(DataFrame.unionByName, parts)
 
 
-def hot_keys(results: DataFrame, min_share: float) -> DataFrame:
-    """Keys of :func:`per_key_results` that hold at least ``min_share`` of all rows.
+def universe_results(rows: DataFrame, universes: dict[str, DataFrame]) -> DataFrame:
+    """Complete results for every value of each key column, through the joined states of ``rows`` and the key's universe.
+
+    ``universes[key]`` lists the valid keys.  ``key_field, key_id, n_rows, n_valid``: the rows of the key, and those of them
+    that join a universe row, ``n_l * n_r`` over distinct universe keys; a null or unknown key keeps its rows with ``n_valid`` 0.
+    """
+    parts = []
+    for key, universe in universes.items():
+        joined = eager_join_aggregate(rows, universe.select(key).distinct(), key, how="left")
+        parts.append(joined.select(F.lit(key).alias("key_field"), F.col(key).cast("long").alias("key_id"), F.col("n_l").alias("n_rows"), F.col("n_pairs").alias("n_valid")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def hot_keys(results: DataFrame, min_share: float, counted: str = "n_rows") -> DataFrame:
+    """Keys of :func:`per_key_results` or :func:`universe_results` whose ``counted`` column is at least ``min_share`` of all rows.
 
     The number of all rows is the sum over one key field's states, the null key included, so the input isn't read again.
     """
-    kept = stow(results.select("key_field", "key_id", "n_rows"))
+    kept = stow(results.select("key_field", "key_id", "n_rows", F.col(counted).alias("counted")))
     total = kept.groupBy("key_field").agg(F.sum("n_rows").alias("all_rows"))  # one row a key field
     return (
         kept.join(F.broadcast(total), "key_field")
-        .filter(F.col("key_id").isNotNull() & (F.col("n_rows") >= F.lit(min_share) * F.col("all_rows")))
+        .filter(F.col("key_id").isNotNull() & (F.col("counted") >= F.lit(min_share) * F.col("all_rows")))
         .select("key_field", "key_id", "n_rows")
     )
-
-

@@ -6,7 +6,7 @@ from conftest import lists, matrix_of
 
 from loomrec.operators.metrics import check_rankings, mean_ap_at_k, ranking_metrics
 from loomrec.operators.pairs import pair_sums
-from loomrec.operators.skew import eager_join_aggregate, hot_keys, key_states, per_key_results, roll_up
+from loomrec.operators.skew import eager_join_aggregate, hot_keys, key_states, per_key_results, roll_up, universe_results
 from loomrec.operators.splits import random_holdout, temporal_split
 from loomrec.operators.topk import popular_items
 from loomrec.sources.external import read_ratings_text, sample_cooccurrence, sample_matrix
@@ -145,6 +145,21 @@ def test_eager_aggregation(spark, how):
         eager_join_aggregate(a, b, "k", left_group=("value",), right_group=("value",))
 
 
+def test_universe_results_need_the_join(spark):
+    rows = spark.createDataFrame([(1, 1)] * 8 + [(2, None), (None, 1), (9, 2)], "user_id long, item_id long")
+    users, items = spark.createDataFrame([(1,), (2,), (2,), (3,)], "user_id long"), spark.createDataFrame([(1,), (2,)], "item_id long")
+    results = universe_results(rows, {"user_id": users, "item_id": items})
+    got = {(r["key_field"], r["key_id"], r["n_rows"], r["n_valid"]) for r in results.collect()}
+    assert got == {
+        ("user_id", 1, 8, 8), ("user_id", 2, 1, 1), ("user_id", None, 1, 0), ("user_id", 9, 1, 0),
+        ("item_id", 1, 9, 9), ("item_id", 2, 1, 1), ("item_id", None, 1, 0),
+    }
+    read = results.select("key_field", "key_id", "n_rows", "n_valid")
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    assert {(r[0], r[1]) for r in hot_keys(results, 0.5, "n_valid").collect()} == {("user_id", 1), ("item_id", 1)}
+    assert hot_keys(universe_results(rows.limit(0), {"user_id": users}), 0.5, "n_valid").count() == 0
+
+
 def test_hot_keys(spark):
     rows = [(1, 5, 1.0)] * 60 + [(u, u % 7, None) for u in range(2, 40)] + [(None, None, float("nan"))] * 2
     df = spark.createDataFrame(rows, "user_id long, item_id long, value double")
