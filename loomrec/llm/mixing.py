@@ -16,8 +16,8 @@ from loomrec.scratch import stow
 MAX_BLOCKS = 1 << 17
 #: Tokens a block should have at least.
 BLOCK_TOKENS = 1 << 15
-#: Blocks of an output shard.
-SHARD_BLOCKS = 64
+#: Blocks of an output shard of the splitting tree, and tokens its parts, which are ordered by one task each, have on average.
+SHARD_BLOCKS, SHARD_TOKENS = 64, 1 << 26
 
 
 @dataclass
@@ -83,6 +83,7 @@ def mix_sources(
     seed: int = 7,
     max_blocks: int = MAX_BLOCKS,
     block_tokens: int = BLOCK_TOKENS,
+    shard_tokens: int = SHARD_TOKENS,
     vocabulary: str | None = None,
 ) -> Mix:
     """Draw a mix of ``total`` tokens (default: those of all documents) in which each source has its target share.
@@ -97,7 +98,10 @@ def mix_sources(
     Documents fall by a hash into blocks, at most ``max_blocks`` over all sources, each of about ``block_tokens`` or more.  The
     driver sees only the block sizes; it fixes the exact number of blocks a source contributes, splits these quotas over
     the output shards by a tree of multivariate-hypergeometric draws and hands every shard disjoint blocks of a random
-    permutation.  A shard then orders its documents at random.  No window or task spans a source.
+    permutation.  A shard of more than ``SHARD_TOKENS`` is dealt by a hash to parts, shards of their own, and each shard then
+    orders its documents at random.  No window or task spans a source.
+
+    A source is short if all it may give was drawn, ``max_repeats`` times its tokens, and that is below its share of ``total``.
 
     ``report``: ``source, target_share, max_repeats, n_docs, size, quota, repeats, drawn, share_of_total, share_of_mix, short``.
     ``rows``: ``shard, position, source, <doc_id>, copy, n_tokens``.
@@ -139,7 +143,7 @@ def mix_sources(
         shuffled = np.random.default_rng([seed, k, 1]).permutation(len(b))
         for key, x in zip(units, (np.full(len(b), k), b[shuffled], c[shuffled], t[shuffled])):
             units[key].append(x)
-        report.append((name, part, cap, int(n_docs), int(size), float(quota), quota / size if size else 0.0, cap * size < part * total))
+        report.append((name, part, cap, int(n_docs), int(size), float(quota), quota / size if size else 0.0))
     per_source = np.array([len(x) for x in units["source"]], np.int64)
     shards = max(1, -(-int(per_source.sum()) // SHARD_BLOCKS))
     placed = split_quotas(per_source, shards, seed)
@@ -160,17 +164,21 @@ def mix_sources(
     reached = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn"))
     head = spark.createDataFrame(
         report,
-        "source string, target_share double, max_repeats int, n_docs long, size long, quota double, repeats double, short boolean",
+        "source string, target_share double, max_repeats int, n_docs long, size long, quota double, repeats double",
     )
     got = F.coalesce("drawn", F.lit(0))
     whole = F.sum(got).over(Window.partitionBy(F.lit(1)))  # a row per target source
+    short = (got >= F.col("max_repeats") * F.col("size")) & (got < F.col("target_share") * F.lit(total))
     full_report = head.join(reached, "source", "left").select(
         "source", "target_share", "max_repeats", "n_docs", "size", "quota", "repeats", got.alias("drawn"),
-        F.try_divide(got, F.lit(total)).alias("share_of_total"), F.try_divide(got, whole).alias("share_of_mix"), "short",
+        F.try_divide(got, F.lit(total)).alias("share_of_total"), F.try_divide(got, whole).alias("share_of_mix"), short.alias("short"),
     )
+    split = max(1, -(-int(sum(r[5] for r in report)) // (shards * shard_tokens)))
+    deal = F.pmod(F.xxhash64(F.lit(seed + 2), "id", "copy"), F.lit(split)).cast("int")
     place = Window.partitionBy("shard").orderBy("key", "id", "copy", "n_tokens")
     rows = (
-        drawn.withColumn("key", F.xxhash64(F.lit(seed), "shard", "id", "copy"))
+        drawn.withColumn("shard", F.col("shard") * split + deal)
+        .withColumn("key", F.xxhash64(F.lit(seed), "shard", "id", "copy"))
         .withColumn("position", F.row_number().over(place))
         .select("shard", "position", "source", F.col("id").alias(doc_id), "copy", "n_tokens")
     )
@@ -189,5 +197,5 @@ def _draw(blocked: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 
 def short_sources(mix: Mix) -> DataFrame:
-    """Sources that can't reach their share."""
+    """Sources that can't reach their share, from the drawn documents."""
     return mix.report.filter("short").select("source")
