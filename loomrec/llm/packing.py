@@ -92,21 +92,21 @@ def pack_documents(
     shard_docs: int = SHARD_DOCS,
     vocabulary: str | None = None,
 ) -> DataFrame:
-    """Assign every document to containers: ``container, <doc_id>, piece, start_token, n_tokens``.
+    """Assign every document to containers: ``container, <doc_id>, piece, start_token, n_tokens, over_attention``.
 
     A container holds at most ``capacity`` tokens, ``max_docs`` documents and an attention cost (sum of squared lengths) of
-    ``attention`` (default: ``capacity`` squared).  A document stays whole unless it has more tokens than ``capacity``; then
+    ``attention`` (default: ``capacity`` squared, which never binds).  A document stays whole unless it has more tokens than ``capacity``; then
     its pieces are consecutive token ranges, full ones with a container of their own and a last one that is packed like a
-    document.  A document over ``attention`` alone gets its own container.
+    document.  A piece over ``attention`` by itself gets its own container and is marked ``over_attention``.
 
     Documents are spread over shards of about ``shard_docs`` by a hash of id and size and each shard is packed by vector
     best-fit in order of falling size, so the work is linear in the documents, no shard depends on another, and only the last
     containers of a shard stay partly empty.  Null and empty texts have size 0 and still get a container; rows with a null id
     are left out; repeated ids are packed as often as they occur.  An empty table gives no rows.
     """
-    sizes = stow(
-        docs.select(F.col(doc_id).cast("long").alias("id"), token_count(F.col(text), vocabulary).alias("n_tokens")).dropna()
-    )
+    # The filter stands before the count: above it, Spark would evaluate the count twice.
+    named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull())
+    sizes = stow(named.select("id", token_count(F.col("text"), vocabulary).alias("n_tokens")))
     shards = max(1, -(-sizes.count() // shard_docs))
     cost = float(capacity) ** 2 if attention is None else float(attention)
     limit = 4 * shard_docs
@@ -118,4 +118,26 @@ def pack_documents(
     packed = spread.groupBy("shard").applyInArrow(
         kernel, "container long, id long, piece int, start_token long, n_tokens long"
     )
-    return packed.withColumnRenamed("id", doc_id)
+    tokens = F.col("n_tokens").cast("double")
+    return packed.withColumn("over_attention", tokens * tokens > cost).withColumnRenamed("id", doc_id)
+
+
+def packing_report(packed: DataFrame, capacity: int, max_docs: int, attention: float) -> DataFrame:
+    """One row on a packing: ``containers, filled`` (share of the token capacity in use), ``full_tokens, full_docs,
+    full_attention`` (containers that reach 0.95 of a limit, for documents the limit itself), ``broken`` (containers beyond a
+    limit that hold more than one piece) and ``over_attention`` (pieces that exceed the attention limit by themselves)."""
+    n = F.col("n_tokens").cast("double")
+    per = packed.groupBy("container").agg(
+        F.count("*").alias("docs"), F.sum(n).alias("tokens"), F.sum(n * n).alias("cost"), F.sum(F.col("over_attention").cast("long")).alias("over")
+    )
+    beyond = (F.col("docs") > max_docs) | (F.col("tokens") > capacity) | (F.col("cost") > attention)
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
+    return per.agg(
+        F.count("*").alias("containers"),
+        (F.sum("tokens") / (F.count("*") * F.lit(float(capacity)))).alias("filled"),
+        count(F.col("tokens") >= 0.95 * capacity).alias("full_tokens"),
+        count(F.col("docs") >= max_docs).alias("full_docs"),
+        count(F.col("cost") >= 0.95 * attention).alias("full_attention"),
+        count(beyond & (F.col("docs") > 1)).alias("broken"),
+        F.coalesce(F.sum("over"), F.lit(0)).alias("over_attention"),
+    )
