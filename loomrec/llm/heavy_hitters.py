@@ -54,6 +54,10 @@ def local_counts(batches, leaders: int, node_values: int):
         held = merged()
     if held is not None and len(held):
         yield from close()
+    elif seen:  # only nulls: the node still counts with its rows
+        held = pa.table({"value": pa.nulls(1, pending[0].schema.field("value").type), "n": pa.array([0], pa.int64())})
+        leaders = 0
+        yield from close()
 
 
 def frequent_values(
@@ -65,10 +69,10 @@ def frequent_values(
     Nulls are no value but their rows count towards the share; repeated rows count each time.  An empty table gives no rows.
 
     1. Every node (a scan task, or a bounded part of one) holds its local counts, which are written once to the shared
-       folder, and marks its leaders.  Leaders summed over nodes give a lower bound of the k-th count; for ``min_share`` that
-       bound is known beforehand.
+       folder, and marks its leaders.  Leaders summed over nodes give a lower bound of the k-th count.  At most
+       ``1 / min_share`` values can have that share: with so many leaders, the share of all rows and the lower bound both hold.
     2. A value above the bound has, in some node, more than the node's share of it (bound x rows of the node / all rows).  Only
-       those are fetched; with ``k`` the bound is raised by what they sum up to, and values that can't reach it are left out.
+       those are fetched; the bound is raised by what they sum up to, and values that can't reach it are left out.
     3. The remaining candidates, at most ``1 / share`` per node, are resolved exactly from the local counts.
 
     Memory of a node is bounded by ``node_values``.
@@ -76,35 +80,31 @@ def frequent_values(
     if (k is None) == (min_share is None):
         raise ValueError("give either k or min_share")
     kind = rows.schema[column].dataType.simpleString()
-    leaders = k or 0
+    leaders = k if k is not None else max(1, int(1 / min_share + 1e-9))
 
     def kernel(batches):
         return local_counts(batches, leaders, node_values)
 
     schema = f"node long, node_rows long, value {kind}, n long, leader boolean"
-    total = rows.count()
     local = stow(rows.select(F.col(column).alias("value")).mapInArrow(kernel, schema))
-    if k is not None:
-        led = local.filter("leader").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(k)
-        firsts = [r["n"] for r in led.select("n").collect()]
-        bound = firsts[-1] if len(firsts) == k else 1
-    else:
-        bound = min_share * total
+    nodes = local.groupBy("node").agg(F.first("node_rows").alias("n"))  # the same in all rows of a node
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    local = local.filter(F.col("value").isNotNull())
+    least = min_share * total if k is None else 1
+    led = local.filter("leader").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(leaders)
+    firsts = [r["n"] for r in led.select("n").collect()]
+    bound = max(least, firsts[-1]) if len(firsts) == leaders else least
     share = F.lit(float(bound)) / F.lit(float(max(total, 1)))
-    fetched = (
+    fetched = stow(
         local.filter(F.col("n") >= F.col("node_rows") * share - 1e-9)
         .groupBy("value")
         .agg(F.sum("n").alias("partial"), F.sum("node_rows").alias("covered"))
     )
-    if k is not None:
-        fetched = stow(fetched)
-        best = [r["partial"] for r in fetched.select("partial").orderBy(F.desc("partial")).limit(k).collect()]
-        raised = max(bound, best[-1]) if len(best) == k else bound
-        most = F.col("partial") + share * (F.lit(total) - F.col("covered"))
-        fetched = fetched.filter(most >= F.lit(float(raised)) - 1e-6)
+    best = [r["partial"] for r in fetched.select("partial").orderBy(F.desc("partial")).limit(leaders).collect()]
+    raised = max(bound, best[-1]) if len(best) == leaders else bound
+    most = F.col("partial") + share * (F.lit(total) - F.col("covered"))
+    fetched = fetched.filter(most >= F.lit(float(raised)) - 1e-6)
     exact = local.join(fetched.select("value"), "value", "left_semi").groupBy("value").agg(F.sum("n").alias("n"))
     if k is not None:
         return exact.orderBy(F.desc("n"), "value").limit(k)
-    return exact.filter(F.col("n") >= F.lit(float(bound)))
-
-
+    return exact.filter(F.col("n") >= F.lit(float(least)))
