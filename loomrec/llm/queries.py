@@ -13,7 +13,7 @@ from loomrec.llm.group_topn import top_n_of_sums
 from loomrec.llm.heavy_hitters import frequent_values
 from loomrec.llm.mixing import mix_sources, short_sources
 from loomrec.llm.nn_graph import exact_neighbours, greedy_search, neighbour_graphs, recall_of, similar_pairs, valid_vectors
-from loomrec.llm.packing import pack_documents
+from loomrec.llm.packing import pack_documents, packing_report
 from loomrec.llm.set_join import similar_sets
 from loomrec.llm.splitting import split_oversized
 from loomrec.scratch import stow
@@ -123,8 +123,16 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _user_sets(spark, sf).record_pairs().withColumn("jaccard", F.round("jaccard", 6))
 
 
+#: Containers of 4,096 tokens, at most 64 documents and nine tenths of the attention cost that one full document has.
+_CONTAINER = {"capacity": 4_096, "max_docs": 64, "attention": 0.9 * 4_096**2}
+
+
 def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return pack_documents(table(spark, sf, "documents"), "doc_id", "text")
+    return pack_documents(table(spark, sf, "documents"), "doc_id", "text", **_CONTAINER)
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing_report(p7_pack(spark, sf), **_CONTAINER)
 
 
 def _mix(spark: SparkSession, sf: str):
@@ -156,7 +164,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p4_recall, p4_search, p4_search_recall, p6_found, p6_pairs, p7_pack,
+            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p4_recall, p4_search, p4_search_recall, p6_found, p6_pairs, p7_pack, p7_report,
             p8_found, p8_report, p8_mix, p9_found, p9_pieces,
         )
     }

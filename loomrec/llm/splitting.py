@@ -16,7 +16,7 @@ CUT_KINDS = ("cell", "paragraph", "line", "sentence", "word", "token")
 CUT_PENALTY = (0.0, 0.3, 0.6, 1.0, 2.0, 4.0)
 #: Weight of the squared deviation of a piece from an even share.
 IMBALANCE = 2.0
-#: Of every run of so many tokens the best boundary takes part in the programme.
+#: Runs of ``limit // GRAIN_SHARE`` tokens bound what a cut in them can cost at least.
 GRAIN_SHARE = 128
 
 # Lines that open a cell in the usual ways of writing a notebook out, and cells of one-line JSON.
@@ -82,50 +82,102 @@ def cut_penalties(ids: np.ndarray, raw: bytes, traits: dict) -> tuple[np.ndarray
     return kind, offsets
 
 
-def choose_cuts(kind: np.ndarray, limit: int, overlap: int, grain: int) -> np.ndarray:
-    """Cut positions from 0 to the number of tokens, of least total penalty plus imbalance.
-
-    The first piece covers at most ``limit`` tokens, each later one ``limit - overlap`` new ones.  Candidates are the best
-    boundary of every ``grain`` tokens, so a feasible one is always in reach.
-    """
-    n = len(kind) - 1
-    inner = kind[1:n]
-    pad = -len(inner) % grain
-    blocks = np.concatenate([inner, np.full(pad, 7, np.int8)]).reshape(-1, grain)
-    # Among equals the last of a block is taken: an arbitrary but fixed rule.
-    best = grain - 1 - blocks[:, ::-1].argmin(axis=1)
-    places = 1 + np.arange(len(blocks)) * grain + best
-    chosen = places[blocks[np.arange(len(blocks)), best] < 6]
-    cand = np.concatenate([[0], chosen[chosen > overlap], [n]])
-    cost = np.asarray(CUT_PENALTY)[np.minimum(kind[cand], 5)]
-    cost[-1] = 0.0
-    # Nothing precedes the first piece: it may be longer by the overlap, as if it began that much later.
-    begin = cand.copy()
-    begin[0] = overlap
-    room = limit - overlap
-    pieces = max(1, -(-(n - overlap) // room))
-    even = (n - overlap) / pieces
-    total = np.full(len(cand), np.inf)
-    back = np.zeros(len(cand), np.int64)
+def _programme(at: np.ndarray, begin: np.ndarray, cost: np.ndarray, room: int, even: float) -> tuple[np.ndarray, float]:
+    """The cheapest way over candidate positions ``at`` (the first is the start, the last the end): places of the cuts, cost."""
+    total, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     total[0] = 0.0
-    first = np.searchsorted(begin, cand - room, side="left")
-    for j in range(1, len(cand)):
+    first = np.searchsorted(begin, at - room, side="left")
+    scaled, shifted = begin / even, at / even - 1
+    for j in range(1, len(at)):
         i = first[j]
-        way = total[i:j] + IMBALANCE * ((cand[j] - begin[i:j]) / even - 1) ** 2
+        if i >= j:
+            continue
+        gap = shifted[j] - scaled[i:j]
+        way = total[i:j] + IMBALANCE * gap * gap
         k = int(way.argmin())
         total[j], back[j] = way[k] + cost[j], i + k
-    cuts, j = [n], len(cand) - 1
+    places, j = [], len(at) - 1
     while j:
+        places.append(j)
         j = back[j]
-        cuts.append(int(cand[j]))
-    return np.asarray(cuts[::-1])
+    return np.asarray([0, *places[::-1]]), float(total[-1])
+
+
+def _least_costs(cost: np.ndarray, n: int, overlap: int, room: int, even: float, grain: int) -> np.ndarray:
+    """For every run of ``grain`` positions a lower bound of the cost of any way through it, without the cut in the run itself.
+
+    A run costs its cheapest cut, and the distance between two runs counts as the most convenient one between any of their
+    positions, for the imbalance and for the limit.
+    """
+    runs = len(cost)
+    lo = 1 + np.arange(runs) * grain
+    hi = np.minimum(lo + grain - 1, n - 1)
+    reach = room // grain + 2
+
+    def apart(near, far):
+        gap = np.maximum(0.0, np.maximum(near / even - 1, 1 - far / even))
+        return np.where((near <= room) & (far > 0), IMBALANCE * gap * gap, np.inf)
+
+    steps = np.arange(1, reach + 1)
+    between = apart(steps * grain - (grain - 1), steps * grain + (grain - 1))
+    start, end = apart(lo - overlap, hi - overlap), apart(n - hi, n - lo)
+    forth, back = start.copy(), end.copy()
+    for c in range(runs):
+        d = min(c, reach)
+        if d:
+            forth[c] = min(forth[c], (forth[c - d : c] + cost[c - d : c] + between[:d][::-1]).min())
+    for c in range(runs - 1, -1, -1):
+        d = min(runs - 1 - c, reach)
+        if d:
+            back[c] = min(back[c], (back[c + 1 : c + 1 + d] + cost[c + 1 : c + 1 + d] + between[:d]).min())
+    return forth + back
+
+
+def choose_cuts(kind: np.ndarray, limit: int, overlap: int, grain: int | None = None) -> np.ndarray:
+    """Cut positions from 0 to the number of tokens, of least total penalty plus imbalance.
+
+    The first piece covers at most ``limit`` tokens, each later one ``limit - overlap`` new ones.  The minimum is over all
+    boundary positions: a first programme over the best boundary of every run of tokens gives a way and with it a bound; a
+    position through which every way costs more, by a lower bound over runs, can't be in the best one; the second programme
+    takes all others.  With ``grain`` only the best boundary of every ``grain`` tokens takes part, which is faster.
+    """
+    n = len(kind) - 1
+    penalty = np.append(np.asarray(CUT_PENALTY), np.inf)[np.minimum(kind, 6)]
+    size = grain or max(1, limit // GRAIN_SHARE)
+    inner = kind[1:n]
+    blocks = np.concatenate([inner, np.full(-len(inner) % size, 7, np.int8)]).reshape(-1, size)
+    # Among equals the last of a run is taken: an arbitrary but fixed rule.
+    best = size - 1 - blocks[:, ::-1].argmin(axis=1)
+    chosen = 1 + np.arange(len(blocks)) * size + best
+    chosen = chosen[blocks[np.arange(len(blocks)), best] < 6]
+    room = limit - overlap
+    even = (n - overlap) / max(1, -(-(n - overlap) // room))
+
+    def solve(inside: np.ndarray) -> tuple[np.ndarray, float]:
+        at = np.concatenate([[0], inside[inside > overlap], [n]])
+        begin, cost = at.copy(), penalty[at]
+        begin[0] = overlap  # nothing precedes the first piece: it may be longer, as if it began that much later
+        cost[-1] = 0.0
+        places, total = _programme(at, begin, cost, room, even)
+        return at[places], total
+
+    cuts, bound = solve(chosen)
+    if grain is None and size > 1:
+        least = np.minimum.reduceat(penalty[1:n], np.arange(0, n - 1, size))
+        through = _least_costs(least, n, overlap, room, even, size)
+        able = 1 + np.flatnonzero(np.repeat(through, size)[: n - 1] + penalty[1:n] <= bound + 1e-9)
+        exact, total = solve(able)
+        if total <= bound:
+            cuts = exact
+    return cuts
 
 
-def split_text(text: str, limit: int, overlap: int, path: str | None = None):
+def split_text(text: str, limit: int, overlap: int, path: str | None = None, grain: int | None = None):
     """Pieces of one text as (start_token, end_token, overlap_tokens, cut, text), or None if it is within the limit.
 
     Every piece is a run of whole tokens on character boundaries and has at most ``limit`` tokens also when it is tokenized
-    by itself; for that a tighter limit is tried where needed.
+    by itself; for that a tighter limit is tried where needed.  A text for which none is found comes back in one piece
+    whose cut is ``none``.
     """
     enc = encoder(path)
     ids = np.asarray(enc.encode_ordinary(text), np.int64)
@@ -137,7 +189,7 @@ def split_text(text: str, limit: int, overlap: int, path: str | None = None):
     kind, offsets = cut_penalties(ids, raw, traits)
     tight = limit
     while True:
-        cuts = choose_cuts(kind, tight, overlap, max(1, limit // GRAIN_SHARE))
+        cuts = choose_cuts(kind, tight, overlap, grain)
         starts = np.maximum(cuts[:-1] - overlap, 0)
         starts[0] = 0
         for k in range(1, len(starts)):  # an overlap also starts on a character
@@ -152,7 +204,7 @@ def split_text(text: str, limit: int, overlap: int, path: str | None = None):
             return out
         tight -= over + 4
         if tight <= 2 * overlap:
-            raise ValueError("limit is too small for the overlap")
+            return [(0, n, 0, "none", text)]
 
 
 OUT = pa.schema(
@@ -160,13 +212,13 @@ OUT = pa.schema(
 )
 
 
-def split_batches(batches, limit: int, overlap: int, path: str | None, with_text: bool):
+def split_batches(batches, limit: int, overlap: int, path: str | None, with_text: bool, grain: int | None = None):
     """Arrow kernel over (id, text)."""
     for batch in batches:
         rows = []
         held = 0
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            pieces = split_text(text.as_py(), limit, overlap, path)
+            pieces = split_text(text.as_py(), limit, overlap, path, grain)
             if pieces is None:
                 continue
             for k, (s, e, o, cut, piece) in enumerate(pieces):
@@ -188,15 +240,17 @@ def split_oversized(
     overlap: int = 128,
     vocabulary: str | None = None,
     with_text: bool = True,
+    grain: int | None = None,
 ) -> DataFrame:
     """Ordered pieces of every text above ``limit`` tokens.
 
     Columns: ``<doc_id>, piece`` (from 0), ``n_pieces, start_token, end_token, overlap_tokens, cut`` and, unless
     ``with_text`` is false, ``text``.  A piece holds at most ``limit`` tokens, its first ``overlap_tokens`` repeat the end of the
     piece before it (``overlap``; up to 3 fewer where the run would begin inside a character); without these repeats the
-    pieces join to the whole text.  ``cut`` names the boundary at its end: cell, paragraph, line, sentence, word, token or end.
+    pieces join to the whole text.  ``cut`` names the boundary at its end: cell, paragraph, line, sentence, word, token or end; ``none`` marks a text that no cuts bring below the limit.
 
-    Cuts minimise penalties by kind of boundary plus squared deviation from an even size.  Texts of at most ``limit``
+    Cuts minimise penalties by kind of boundary plus squared deviation from an even size over all boundary positions, or over
+    the best of every ``grain`` tokens.  Texts of at most ``limit``
     bytes can't have more tokens and never reach Python.  Null and empty texts and texts within the limit give no rows, nor
     does a null id; repeated rows are split each.  An empty table gives no rows.
     """
@@ -207,7 +261,7 @@ def split_oversized(
     )
 
     def kernel(batches):
-        return split_batches(batches, limit, overlap, vocabulary, with_text)
+        return split_batches(batches, limit, overlap, vocabulary, with_text, grain)
 
     schema = "id long, piece int, n_pieces int, start_token long, end_token long, overlap_tokens int, cut string, text string"
     out = long.mapInArrow(kernel, schema).withColumnRenamed("id", doc_id)

@@ -75,6 +75,10 @@ def test_frequent_values_of_odd_tables(spark):
     assert frequent_values(empty, "value", k=3).count() == 0 and frequent_values(empty, "value", min_share=0.5).count() == 0
     nulls = spark.createDataFrame([(None, 1)] * 3, "value string, node long")
     assert frequent_values(nulls, "value", k=3).count() == 0
+    one = nulls.select("value")
+    mixed = one.union(one).union(one.limit(1).select(F.lit("5").alias("value"))).repartition(7)
+    share = 1 / mixed.count()
+    assert frequent_values(mixed, "value", min_share=share).count() == 1 and frequent_values(mixed, "value", min_share=share * 1.1).count() == 0
     text = spark.createDataFrame([("b", 1), ("a", 1), ("b", 2), ("a", 3), ("", 1)], "value string, node long")
     assert [(r["value"], r["n"]) for r in frequent_values(text, "value", k=2).collect()] == [("a", 2), ("b", 2)]
     with pytest.raises(ValueError):

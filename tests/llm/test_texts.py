@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomrec.llm.mixing import mix_sources, short_sources, split_quotas
-from loomrec.llm.packing import best_fit, pack_documents
+from loomrec.llm.packing import best_fit, pack_documents, packing_report
 from loomrec.llm.splitting import choose_cuts, split_oversized, split_text
-from loomrec.llm.tokens import count_tokens, encoder
+from loomrec.llm.tokens import count_tokens, encoder, token_count
 
 WORDS = "the model drops noise after a second pass because nobody asked for larger groups".split()
 
@@ -47,6 +48,23 @@ def test_best_fit_respects_capacities(score):
     assert set(bins) == set(range(bins.max() + 1))
 
 
+def test_packing_counts_tokens_once_and_reports(spark, docs):
+    packed = pack_documents(docs, "doc_id", "text", capacity=128, max_docs=5, attention=0.5 * 128**2, shard_docs=40)
+    rows = packed.collect()
+    report = packing_report(packed, 128, 5, 0.5 * 128**2).first()
+    by = {}
+    for r in rows:
+        by.setdefault(r["container"], []).append(r["n_tokens"])
+        assert r["over_attention"] == (r["n_tokens"] ** 2 > 0.5 * 128**2)
+    assert all(len(n) == 1 or (len(n) <= 5 and sum(n) <= 128 and sum(x * x for x in n) <= 0.5 * 128**2) for n in by.values())
+    assert report["broken"] == 0 and report["containers"] == len(by) and report["full_attention"] > 0 and report["full_docs"] > 0
+    assert report["over_attention"] == sum(r["over_attention"] for r in rows)
+    wrong = packed.withColumn("container", F.lit(1).cast("long"))
+    assert packing_report(wrong, 128, 5, 0.5 * 128**2).first()["broken"] == 1
+    named = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").select("doc_id", token_count("text").alias("n"))
+    assert named._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("capacity,max_docs", [(128, 1024), (128, 2), (4096, 1024)])
 def test_packing_is_whole(docs, capacity, max_docs):
     rows = pack_documents(docs, "doc_id", "text", capacity=capacity, max_docs=max_docs, shard_docs=40).collect()
@@ -92,6 +110,8 @@ def test_mix_reaches_targets(spark, docs):
     for r in docs.collect():
         by.setdefault(r["source"], []).append(r["doc_id"])
     report = {r["source"]: r for r in mix.report.collect()}
+    plan = short_sources(mix)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "n_tokens" in plan  # needs the drawn documents
     assert {r["source"] for r in short_sources(mix).collect()} == {s for s, share, cap in [("a", 0.3, 2), ("b", 0.5, 2), ("c", 0.2, 5), ("none", 0.1, 9)] if cap * sum(want[d] for d in by.get(s, [])) < share * total}
     rows = mix.rows.collect()
     drawn, copies = {}, {}
@@ -168,6 +188,32 @@ def test_cuts_are_optimal_on_short_sequences():
         assert all(b - a <= (limit if a == 0 else room) for a, b in zip(cuts, cuts[1:]))
 
 
+def cuts_cost(kind, cuts, limit, overlap):
+    from loomrec.llm.splitting import CUT_PENALTY, IMBALANCE
+
+    n = len(kind) - 1
+    even = (n - overlap) / -(-(n - overlap) // (limit - overlap))
+    begin = [overlap, *cuts[1:-1]]
+    assert all(e - b <= limit - overlap for b, e in zip(begin, cuts[1:])) and all(kind[c] < 6 for c in cuts)
+    return sum(CUT_PENALTY[kind[c]] for c in cuts[1:-1]) + sum(IMBALANCE * ((e - b) / even - 1) ** 2 for b, e in zip(begin, cuts[1:]))
+
+
+@pytest.mark.parametrize("weights", [[1, 3, 10, 20, 60, 5, 1], [0, 0, 0, 0, 0, 8, 2], [0, 0, 0, 1, 30, 0, 69], [40, 0, 0, 0, 1, 1, 0]])
+def test_cuts_are_optimal_over_all_positions(weights):
+    rng = np.random.default_rng(3)
+    for n, limit, overlap in ((3_000, 512, 40), (2_500, 1_000, 0), (1_030, 1_000, 100), (9_000, 2_000, 128)):
+        kind = rng.choice(7, n + 1, p=np.array(weights) / sum(weights)).astype(np.int8)
+        kind[0] = kind[n] = 0
+        ours, all_positions = choose_cuts(kind, limit, overlap), choose_cuts(kind, limit, overlap, 1)
+        assert cuts_cost(kind, list(ours), limit, overlap) == pytest.approx(cuts_cost(kind, list(all_positions), limit, overlap), abs=1e-8)
+
+
+def test_a_text_that_cannot_be_split_is_marked(spark):
+    rows = split_oversized(spark.createDataFrame([(1, "🙂" * 40), (2, "word " * 40)], "id long, text string"), "id", "text", limit=3, overlap=0).collect()
+    marked = [r for r in rows if r["cut"] == "none"]
+    assert {r["id"] for r in rows} == {1, 2} and all(r["n_pieces"] == 1 and r["piece"] == 0 for r in marked)
+
+
 def cost_so_far(cuts, value, j, kind, overlap, even, n):
     from loomrec.llm.splitting import CUT_PENALTY, IMBALANCE
 
