@@ -123,6 +123,11 @@ def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return _user_sets(spark, sf).record_pairs().withColumn("jaccard", F.round("jaccard", 6))
 
 
+def p6_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of users with the very same items that each user belongs to."""
+    return _user_sets(spark, sf).members.select("record", "rep", F.col("n_members").cast("long").alias("n_members"))
+
+
 #: Containers of 4,096 tokens, at most 64 documents and nine tenths of the attention cost that one full document has.
 _CONTAINER = {"capacity": 4_096, "max_docs": 64, "attention": 0.9 * 4_096**2}
 
@@ -164,7 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p4_recall, p4_search, p4_search_recall, p6_found, p6_pairs, p7_pack, p7_report,
+            p1_found, p1_pairs, p1_all_pairs, p2_found, p2_top, p3_found, p3_best_items, p4_found, p4_neighbours, p4_recall, p4_search, p4_search_recall, p6_found, p6_pairs, p6_members, p7_pack, p7_report,
             p8_found, p8_report, p8_mix, p9_found, p9_pieces,
         )
     }
@@ -226,6 +231,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": " UNION ALL ".join(_NEAR.format(side=side) for side in _SIDES),
         "p4_recall": " UNION ALL ".join(_GOOD.format(side=side) for side in _SIDES),
         "p4_search_recall": " UNION ALL ".join(_GOOD.format(side=side) for side in _SIDES),
+        "p6_members": """WITH s AS (SELECT user_id AS record, list_sort(list(DISTINCT item_id)) AS s FROM triplets
+            WHERE user_id IS NOT NULL AND item_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT item_id) >= 10)
+            SELECT record, min(record) OVER (PARTITION BY s) AS rep, count(*) OVER (PARTITION BY s) AS n_members FROM s""",
         "p6_found": f"{_SETS} SELECT a AS user_a, b AS user_b FROM j WHERE jaccard >= 0.7 - 1e-12",
         "p6_pairs": f"{_SETS} SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.7 - 1e-12",
     }

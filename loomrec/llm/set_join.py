@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from loomrec.scratch import maybe_broadcast, stow
 
 #: Sets of more tokens stay in long form throughout and are never gathered into one row.
-HUGE_SET = 100_000
+HUGE_SET = 50_000
+#: The index list of a (token, length class) is cut into tiles of about so many rows, which several tasks probe.
+LIST_TILE = 50_000
 #: Records with the very same set are all paired with each other up to this class size, beyond it linked to the first one.
 EXPAND_CLASS = 64
 
@@ -55,7 +57,7 @@ def _least_overlap(size_a: Column, size_b: Column, threshold: float) -> Column:
 
 
 def similar_sets(
-    rows: DataFrame, record: str, token: str, *, threshold: float, min_size: int = 1, huge_set: int = HUGE_SET
+    rows: DataFrame, record: str, token: str, *, threshold: float, min_size: int = 1, huge_set: int = HUGE_SET, list_tile: int = LIST_TILE
 ) -> SetJoin:
     """Pairs of records whose token sets have a Jaccard similarity of at least ``threshold`` (0 < threshold <= 1).
 
@@ -64,9 +66,11 @@ def similar_sets(
 
     Records with equal sets become one class.  Tokens are ordered by rarity over all records.  The smaller set of a pair is
     indexed by its first ``s - ceil(2t/(1+t) s) + 1`` tokens, the larger probes with ``s - ceil(t s) + 1``; they meet on
-    (token, length class), where the length and the positional filter apply, and the exact overlap is verified right there
-    on the sets that travel along.  Length classes split the list of a frequent token.  Sets above ``huge_set`` can only match
-    sets nearly as large; those keep their long form and are counted by joins on the token.  No candidate is dropped.
+    (token, length class), where the length and the positional filter apply.  Only record, size and position travel with a
+    token, so the volume grows with the sets' sizes and not with their squares.  Length classes split the list of a frequent
+    token, and a list of more than ``list_tile`` rows is cut into tiles that meet the same probes in different tasks.  The distinct
+    candidate pairs are then joined with both sets by id and verified exactly.  Sets above ``huge_set`` can only match sets
+    nearly as large; those keep their long form and are counted by joins on the token.  No candidate is dropped.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -92,7 +96,7 @@ def similar_sets(
         F.col("r").alias("record"), F.coalesce("rep", "r").alias("rep"), F.coalesce("n_members", F.lit(1)).alias("n_members")
     )
     shadows = members.filter("record <> rep").select(F.col("record").alias("r"))
-    firsts = keyed.join(shadows, "r", "left_anti").select("r", "s", F.size("s").alias("n"))
+    firsts = stow(keyed.join(shadows, "r", "left_anti").select("r", "s", F.size("s").alias("n")))
 
     t = threshold
     width = math.log(1 / t) if t < 1 else 1.0
@@ -100,32 +104,38 @@ def similar_sets(
     n = F.col("n")
     probe_len = (n - F.ceil(F.lit(t) * n - 1e-9) + 1).cast("int")
     index_len = (n - F.ceil(F.lit(2 * t / (1 + t)) * n - 1e-9) + 1).cast("int")
-    probe = firsts.select("r", "s", "n", length(n).alias("b"), F.posexplode(F.slice("s", F.lit(1), probe_len)).alias("p", "t"))
-    index = firsts.select(
-        "r", "s", "n", length(n).alias("own"), F.posexplode(F.slice("s", F.lit(1), index_len)).alias("p", "t")
-    )
+    probe = firsts.select("r", "n", length(n).alias("b"), F.posexplode(F.slice("s", F.lit(1), probe_len)).alias("p", "t"))
+    index = firsts.select("r", "n", length(n).alias("own"), F.posexplode(F.slice("s", F.lit(1), index_len)).alias("p", "t"))
     reach = F.array(F.col("own"), F.col("own") + 1) if t < 1 else F.array("own")
     index = index.withColumn("b", F.explode(reach)).drop("own")
+    listed = index.groupBy("t", "b").agg(F.count("*").alias("f")).filter(F.col("f") > list_tile)
+    long_lists = stow(listed.select("t", "b", F.ceil(F.col("f") / F.lit(list_tile)).cast("int").alias("tiles")))
+    n_long = long_lists.count()
+    if n_long:
+        tiles = F.coalesce("tiles", F.lit(1))
+        long_lists = maybe_broadcast(long_lists, n_long, 40)
+        index = index.join(long_lists, ["t", "b"], "left").withColumn("tile", F.pmod(F.xxhash64("r"), tiles).cast("int"))
+        probe = probe.join(long_lists, ["t", "b"], "left").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    else:
+        index, probe = index.withColumn("tile", F.lit(0)), probe.withColumn("tile", F.lit(0))
     x, y = probe.alias("x"), index.alias("y")
     need = _least_overlap(F.col("x.n"), F.col("y.n"), t)
     met = x.join(
         y,
         (F.col("x.t") == F.col("y.t"))
         & (F.col("x.b") == F.col("y.b"))
+        & (F.col("x.tile") == F.col("y.tile"))
         & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.r") < F.col("x.r"))))
         & (F.col("y.n") >= F.lit(t) * F.col("x.n") - 1e-9)
         & (1 + F.least(F.col("x.n") - F.col("x.p") - 1, F.col("y.n") - F.col("y.p") - 1) >= need),
     )
-    overlap = F.size(F.array_intersect("x.s", "y.s"))
-    found = (
-        met.select(
-            F.col("x.r").alias("u"), F.col("y.r").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv"),
-            overlap.alias("overlap"), need.alias("need"),
-        )
-        .filter("overlap >= need")
-        .drop("need")
-        .distinct()
-    )
+    found = met.select(F.col("x.r").alias("u"), F.col("y.r").alias("v"), F.col("x.n").alias("nu"), F.col("y.n").alias("nv")).distinct()
+    for side in ("u", "v"):
+        found = found.join(firsts.select(F.col("r").alias(side), F.col("s").alias(f"s{side}")), side)
+    found = found.withColumn("overlap", F.size(F.array_intersect("su", "sv"))).filter(
+        F.col("overlap") >= _least_overlap(F.col("nu"), F.col("nv"), t)
+    )
+    found = found.select("u", "v", "nu", "nv", "overlap")
     if n_huge:
         found = found.union(_huge_pairs(pairs, sizes, t, max(min_size, math.floor(huge_set * t)), huge_set))
     first = F.col("u") < F.col("v")

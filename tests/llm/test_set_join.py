@@ -39,11 +39,11 @@ def brute(sets, t, least):
     return out
 
 
-@pytest.mark.parametrize("huge", [100_000, 20])
+@pytest.mark.parametrize("huge,tile", [(100_000, 50_000), (100_000, 3), (20, 50_000)])
 @pytest.mark.parametrize("threshold,least", [(0.5, 1), (0.7, 10), (0.8, 1), (1.0, 1)])
-def test_against_brute_force(spark, threshold, least, huge):
+def test_against_brute_force(spark, threshold, least, huge, tile):
     sets = random_sets(5)
-    joined = similar_sets(frame(spark, sets), "record", "token", threshold=threshold, min_size=least, huge_set=huge)
+    joined = similar_sets(frame(spark, sets), "record", "token", threshold=threshold, min_size=least, huge_set=huge, list_tile=tile)
     got = {(r["a"], r["b"], round(r["jaccard"], 9)) for r in joined.record_pairs().collect()}
     if huge == 100_000:
         assert got == brute(sets, threshold, least)
@@ -62,6 +62,13 @@ def test_large_classes_become_stars(spark):
     assert members == {0: set(range(10)), 20: {20}}
 
 
+def test_large_sets_travel_once(spark):
+    big = spark.range(20_000).selectExpr("explode(array(1L, 2L, 3L)) AS record", "id AS token")
+    rows = big.filter("record = 1 OR token % 10 > record").union(spark.createDataFrame([(4, 1), (4, 2)], "record long, token long"))
+    joined = similar_sets(rows, "record", "token", threshold=0.7)
+    assert {(r["a"], r["b"], r["overlap"]) for r in joined.pairs.collect()} == {(1, 2, 14_000), (2, 3, 12_000)}
+
+
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "record long, token long")
     assert similar_sets(empty, "record", "token", threshold=0.5).record_pairs().count() == 0
