@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,39 +11,49 @@ from loomrec.functions import is_finite
 from loomrec.sources.triplets import require_k
 
 
-def check_rankings(recs: DataFrame, users: DataFrame, items: DataFrame, k: int) -> int:
+def check_rankings(recs: DataFrame, users: DataFrame, items: DataFrame | None, k: int) -> int:
     """Validate ``user_id, rank, item_id`` rows and return the number of evaluated places, ``min(k, list width)``.
 
-    Raises ``ValueError`` for k < 1, an empty table, users that don't agree with the universe, ids outside it, and an item that
-    occurs twice among the evaluated places of a user.
+    Raises ``ValueError`` for k < 1, an empty table, users that don't agree with the universe, ids outside that of the items (if
+    given), and an item that occurs twice among the evaluated places of a user.
     """
     require_k(k)
     width = recs.agg(F.max("rank")).first()[0]
     if not width:
         raise ValueError("the recommendations have no column")
     places = min(k, int(width))
-    if recs.select("user_id").distinct().join(users, "user_id", "full_outer").count() != users.count() or (
-        users.join(recs, "user_id", "left_anti").limit(1).count()
-    ):
-        raise ValueError("recommendations and universe have different users")
-    prefix = recs.filter(F.col("rank") <= places)
-    if prefix.join(items, "item_id", "left_anti").limit(1).count():
-        raise ValueError("an item id is out of range")
-    if prefix.groupBy("user_id", "item_id").count().filter("count > 1").limit(1).count():
-        raise ValueError("an item is recommended twice to a user")
+    prefix = recs.filter(F.col("rank") <= places).select("user_id", "item_id")
+    named = recs.select("user_id", F.lit(1).alias("r")).distinct().join(users.select("user_id", F.lit(1).alias("u")).distinct(), "user_id", "full_outer")
+    faults = [
+        named.filter("r IS NULL OR u IS NULL").limit(1).select(F.lit("recommendations and universe have different users").alias("fault")),
+        prefix.groupBy("user_id", "item_id").count().filter("count > 1").limit(1).select(F.lit("an item is recommended twice to a user")),
+    ]
+    if items is not None:
+        faults.append(prefix.join(items.select("item_id"), "item_id", "left_anti").limit(1).select(F.lit("an item id is out of range")))
+    found = reduce(DataFrame.union, faults).first()
+    if found:
+        raise ValueError(found["fault"])
     return places
 
 
-def ranking_metrics(recs: DataFrame, truth: DataFrame, users: DataFrame, k: int, *, width: int | None = None) -> DataFrame:
+def ranking_metrics(
+    recs: DataFrame, truth: DataFrame, users: DataFrame, k: int, *, width: int | None = None, items: DataFrame | None = None, check: bool = True
+) -> DataFrame:
     """``user_id, ap, ndcg, precision, recall`` at ``k`` for every user of the universe.
 
     With p = min(k, list width) places and rel(u) the stored entries of ``truth`` (an explicit zero is relevant): average
     precision divides by min(p, |rel|); NDCG uses the stored value as linear gain over log2(place + 1) and is 0 without
     positive ideal gain; precision divides by p; recall by |rel|.  Users without relevant items have 0 throughout.  The width is
     the largest rank unless given.  One join of the tables and windows over at most p rows a user.
+
+    The table is validated by :func:`check_rankings` first, ids against ``items`` if given; ``check=False`` leaves that out and
+    runs no job for it.
     """
     require_k(k)
-    if width is None:
+    if check:
+        places = check_rankings(recs, users, items, k)
+        width = places if width is None else width
+    elif width is None:
         width = recs.agg(F.max("rank")).first()[0] or k
     p = min(k, int(width))
     relevant = truth.select("user_id", "item_id", F.col("value").alias("gain"))
@@ -70,13 +82,13 @@ def ranking_metrics(recs: DataFrame, truth: DataFrame, users: DataFrame, k: int,
 
 
 def _one(name):
-    def metric(recs: DataFrame, truth: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
-        return ranking_metrics(recs, truth, users, k).select("user_id", F.col(name).alias("value"))
+    def metric(recs: DataFrame, truth: DataFrame, users: DataFrame, k: int = 10, **args) -> DataFrame:
+        return ranking_metrics(recs, truth, users, k, **args).select("user_id", F.col(name).alias("value"))
 
-    def mean(recs: DataFrame, truth: DataFrame, users: DataFrame, k: int = 10) -> float:
-        return float(ranking_metrics(recs, truth, users, k).agg(F.avg(name)).first()[0])
+    def mean(recs: DataFrame, truth: DataFrame, users: DataFrame, k: int = 10, **args) -> float:
+        return float(ranking_metrics(recs, truth, users, k, **args).agg(F.avg(name)).first()[0])
 
-    metric.__doc__ = f"``user_id, value`` with the {name} at k of every user of the universe."
+    metric.__doc__ = f"``user_id, value`` with the {name} at k of every user of the universe; further arguments as in ranking_metrics."
     mean.__doc__ = f"Mean {name} at k over all users, also those without relevant items."
     return metric, mean
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.scratch import BROADCAST_BYTES, spread, stow
+from loomrec.scratch import BROADCAST_BYTES, discard, maybe_broadcast, spread, stow
 
 #: Entries of one segment.
 SEGMENT = 8_192
@@ -303,14 +303,19 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(pa.compute.list_flatten(column)).reshape(n, -1).astype(float) if n else np.zeros((0, 0))
 
 
-def half_sweep_joined(x: DataFrame, entity: str, other: str, universe: DataFrame, rules: Rules, mine: DataFrame, fixed: DataFrame, parts: int = 8) -> DataFrame:
+def half_sweep_joined(x: DataFrame, entity: str, other: str, universe: DataFrame, rules: Rules, mine: DataFrame, fixed: DataFrame, segment: int = 4_096, group: int = 2_048) -> DataFrame:
     """:func:`half_sweep` for sides that are too large to broadcast: ``id, factors, extra`` tables, joined by shuffles.
 
     Entries meet the fixed factors in a join on the other id, are summed to partial systems per (entity, part) and solved
-    after a second shuffle of those; a hot entity is spread over ``parts`` partial systems.
+    after a second shuffle of those.  An entity has one part for every ``segment`` of its entries, so a list of factors stays
+    bounded and only hot entities ship several partial systems; about ``group`` entities are solved together.
     """
     f = fixed.select(F.col("id").alias(other), F.col("factors").alias("f"), F.col("extra").alias("x"))
-    met = x.join(f, other).select(F.col(entity).alias("id"), F.struct("value", "f", "x").alias("e"), F.pmod(F.xxhash64(other), F.lit(parts)).alias("part"))
+    degree = x.groupBy(entity).agg(F.count("*").alias("d")).filter(F.col("d") > segment)
+    hot = stow(degree.select(entity, F.ceil(F.col("d") / F.lit(segment)).alias("parts")))
+    x = x.join(maybe_broadcast(hot, hot.count(), 40), entity, "left")
+    part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1)))
+    met = x.join(f, other).select(F.col(entity).alias("id"), F.struct("value", "f", "x").alias("e"), part.alias("part"))
     cut = met.groupBy("id", "part").agg(F.collect_list("e").alias("e")).join(mine.select("id", F.col("extra").alias("own")), "id")
     lists = cut.select("id", F.flatten(F.col("e.f")).alias("f"), F.col("e.value").alias("v"), F.col("e.x").alias("x"), "own")
     arrays = pa.list_(pa.float64())
@@ -349,6 +354,8 @@ def half_sweep_joined(x: DataFrame, entity: str, other: str, universe: DataFrame
         x = solve(rules, flat[:, : k * k].reshape(-1, k, k), flat[:, k * k : k * k + k], start, own, flat[:, -1])
         return pa.table({"id": ids, "factors": pa.array(list(x[:, :rank]), arrays), "extra": x[:, -1] if biased else own})
 
-    spread = rows.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(max(8, x.sparkSession.sparkContext.defaultParallelism * 4))))
+    spread = rows.withColumn("_g", F.pmod(F.xxhash64("id"), F.lit(max(8, -(-universe.count() // group)))))
     solved = spread.groupBy("_g").applyInArrow(lambda t: finish(t), "id long, factors array<double>, extra double")
-    return stow(solved)
+    out = stow(solved)
+    discard(hot)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomrec.functions import dot, norm
 from loomrec.scratch import BROADCAST_BYTES, maybe_broadcast, spread, stow
-from loomrec.sources.triplets import Interactions, require_k
+from loomrec.sources.triplets import Interactions, numbered, require_k
 
 #: Scores that agree to so many decimals tie, and the smaller id comes first.
 DIGITS = 9
@@ -61,7 +61,7 @@ def recommend_scored(matrix: Interactions, scores: DataFrame, k: int, *, allow_s
     reach = reach.select("user_id", "need", (F.col("need") + F.coalesce("n", F.lit(0))).alias("reach"))
     furthest = reach.agg(F.coalesce(F.max("reach"), F.lit(0))).first()[0]
     prefix = matrix.items.select("item_id").orderBy("item_id").limit(int(furthest)) if furthest else matrix.items.limit(0)
-    prefix = prefix.withColumn("place", F.row_number().over(Window.orderBy("item_id")))
+    prefix = numbered(prefix, "place", "item_id").withColumn("place", F.col("place") + 1)
     wanted = reach.select("user_id", "need", F.explode(F.sequence(F.lit(1), F.col("reach").cast("int"))).alias("place"))
     zeros = wanted.join(maybe_broadcast(prefix, int(furthest), 24), "place").join(taken, ["user_id", "item_id"], "left_anti")
     lowest = Window.partitionBy("user_id").orderBy("item_id")
@@ -288,7 +288,7 @@ def popular_items(matrix: Interactions, k: int) -> DataFrame:
     degree = stow(degree.select("user_id", F.coalesce("d", F.lit(0)).alias("d")))
     most = int(degree.agg(F.coalesce(F.max("d"), F.lit(0))).first()[0]) + k
     first = sums.orderBy(F.desc(F.round("score", DIGITS)), "item_id").limit(most)
-    first = first.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", DIGITS)), "item_id")))
+    first = numbered(first, "place", F.desc(F.round("score", DIGITS)), F.col("item_id")).withColumn("place", F.col("place") + 1)
     wanted = degree.select("user_id", F.explode(F.sequence(F.lit(1), (F.col("d") + k).cast("int"))).alias("place"))
     offered = wanted.join(maybe_broadcast(first, most, 32), "place").join(matrix.x.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     order = Window.partitionBy("user_id").orderBy("place")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from enum import Enum
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from loomrec.operators.matrix import factor_gram, sampled_product, seeded_normal
 from loomrec.operators.normal_equations import Rules, Table, fits_broadcast, half_sweep, half_sweep_joined, observed_loss, segments
 from loomrec.operators.topk import all_scores, pair_scores, recommend_dense, similar_all, similar_to
 from loomrec.plans.base import MatrixFactorization
-from loomrec.scratch import BROADCAST_BYTES, stow
+from loomrec.scratch import BROADCAST_BYTES, discard, stow
 from loomrec.sources.triplets import Interactions, require_dimensions, require_finite, require_minimum
 
 
@@ -79,6 +80,17 @@ def start_table(ids: np.ndarray, given: DataFrame | None, rank: int, seed: int,
     return Table(ids, factors, extra)
 
 
+def normals_frame(ids: DataFrame, rank: int, seed: int, scale: float = 0.01) -> DataFrame:
+    """``id, factors`` with the start factors of :func:`start_table`, drawn in the tasks."""
+
+    def draw(batches):
+        for batch in batches:
+            drawn = seeded_normals(batch.column(0).to_numpy(), rank, scale, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(drawn), pa.list_(pa.float64()))], names=["id", "factors"])
+
+    return ids.mapInArrow(draw, "id long, factors array<double>")
+
+
 class _Alternating(_Factors):
     """Loop over half-sweeps; picks broadcast arrays or joins by the counted size of both sides."""
 
@@ -125,13 +137,8 @@ class _Alternating(_Factors):
         return {"user_factors": u.to_frame(spark), "item_factors": v.to_frame(spark)}
 
     def _loop_joined(self, matrix, run, user_init, item_init, mean, steps) -> dict:
-        rank, seed = self.rank, self.seed
-
         def start(universe, column, given, salt, extra):
-            k = F.sequence(F.lit(0), F.lit(rank - 1))
-            u1 = lambda f, s: (F.pmod(F.xxhash64(F.lit(seed + salt), column, f, F.lit(s)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-            normal = F.transform(k, lambda f: 0.01 * F.sqrt(-2 * F.log(u1(f, 1))) * F.cos(6.283185307179586 * u1(f, 2)))
-            rows = universe.select(F.col(column).alias("id"), normal.alias("factors"))
+            rows = normals_frame(universe.select(F.col(column).alias("id")), self.rank, self.seed + salt)
             if extra is not None:
                 rows = rows.join(extra, "id", "left").withColumn("extra", F.coalesce("extra", F.lit(0.0)))
             else:
@@ -144,8 +151,11 @@ class _Alternating(_Factors):
         u = start(matrix.users, "user_id", user_init, 0, None)
         v = start(matrix.items, "item_id", item_init, 1, self._weight_frame(matrix))
         for step in range(1, (steps or self.max_iter) + 1):
+            last_u, last_v = u, v
             u = half_sweep_joined(matrix.x, "user_id", "item_id", matrix.users, self._rules("user", self._gram(v, "user"), mean), u, v)
             v = half_sweep_joined(matrix.x, "item_id", "user_id", matrix.items, self._rules("item", self._gram(u, "item"), mean), v, u)
+            discard(last_u)
+            discard(last_v)
             self.__dict__.update(self._frames(u, v, mean))
             loss = self._loss(matrix, mean) if run is not None and run.wants_loss else None
             if run is not None and run.epoch(step, loss):
@@ -252,9 +262,13 @@ class WeightedMF(_Alternating):
         return joined.withColumns({"b_u": F.coalesce("b_u", zero), "b_i": F.coalesce("b_i", zero)})
 
     def transform(self, matrix: Interactions) -> DataFrame:
-        """Fold in the users of ``matrix`` with fixed items, from zero: ``id, factors[, bias]``."""
+        """Fold in the users of ``matrix`` with fixed items, from zero: ``id, factors[, bias]``.  Sides beyond the broadcast
+        limit are joined."""
         self.require_fitted()
         spark = matrix.spark
+        sides = matrix.users.count(), self.item_factors.count()
+        if not all(fits_broadcast(n, self.rank, self.broadcast_bytes) for n in sides):
+            return self._transform_joined(matrix)
         item_ids = ids_of(self.item_factors, "id")
         v = start_table(item_ids, self.item_factors, self.rank, self.seed)
         if self.explicit:
@@ -265,6 +279,17 @@ class WeightedMF(_Alternating):
         rules = self._rules("user", self._base(v, "user"), self.mean)
         return half_sweep(spark, segments(matrix.x, "user_id", "item_id", matrix.users), rules, zero, v).to_frame(spark, "bias" if self.explicit else None)
 
+    def _transform_joined(self, matrix: Interactions) -> DataFrame:
+        zeros = F.array_repeat(F.lit(0.0), self.rank)
+        users = matrix.users.select(F.col("user_id").alias("id"), zeros.alias("factors"), F.lit(0.0).alias("extra"))
+        items = self.item_factors.withColumn("extra", F.lit(0.0))
+        if self.explicit:
+            bias = self.item_bias.select("id", F.col("bias").alias("extra"))
+            items = self.item_factors.join(bias, "id", "left").withColumn("extra", F.coalesce("extra", F.lit(0.0)))
+        rules = self._rules("user", self._gram(items, "user"), self.mean)
+        solved = half_sweep_joined(matrix.x, "user_id", "item_id", matrix.users, rules, users, items)
+        return solved.select("id", "factors", *([F.col("extra").alias("bias")] if self.explicit else []))
+
     def recommend(self, matrix: Interactions, k: int = 10) -> DataFrame:
         users = self.transform(matrix)
         if not self.explicit:

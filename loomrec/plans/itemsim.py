@@ -215,25 +215,35 @@ class ShallowAutoencoder(_ByWeights):
         return {"weights": stow(edge_table(matrix.spark, ids, b))}
 
 
-def slim_column(g: np.ndarray, j: int, l1: float, l2: float, max_iter: int, tol: float, nonnegative: bool) -> np.ndarray:
-    """Coordinate descent on the Gram matrix for one target column; the target's own weight stays 0."""
+def slim_columns(g: np.ndarray, targets: np.ndarray, l1: float, l2: float, max_iter: int, tol: float, nonnegative: bool) -> np.ndarray:
+    """Cyclic coordinate descent on the Gram matrix for several target columns at once: their weights, a row a target.
+
+    A coordinate is updated for all targets together; a target leaves when no weight of it moved by ``tol`` in a sweep.  The
+    target's own weight stays 0.
+    """
     n = len(g)
-    w, rest = np.zeros(n), g[:, j].copy()
-    able = np.flatnonzero((np.arange(n) != j) & ((g[:, j] != 0) | (not nonnegative)))
+    out = np.zeros((len(targets), n))
+    able = g[targets] != 0 if nonnegative else np.ones((len(targets), n), bool)
+    able[np.arange(len(targets)), targets] = False
+    live, w, rest = np.arange(len(targets)), np.zeros((len(targets), n)), g[targets].copy()
+    diagonal = np.diag(g)
     for _ in range(max_iter):
-        most = 0.0
-        for i in able:
-            rho = rest[i] + g[i, i] * w[i]
-            low = g[i, i] + l2
-            size = max(rho - l1, 0.0) if nonnegative else np.sign(rho) * max(abs(rho) - l1, 0.0)
-            new = size / low if low > 0 else 0.0
-            if new != w[i]:
-                rest -= g[:, i] * (new - w[i])
-                most = max(most, abs(new - w[i]))
-                w[i] = new
-        if most < tol:
+        most = np.zeros(len(live))
+        for i in np.flatnonzero(able.any(axis=0) & (diagonal + l2 > 0)):
+            rho = rest[:, i] + diagonal[i] * w[:, i]
+            size = np.maximum(rho - l1, 0.0) if nonnegative else np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0)
+            step = np.where(able[:, i], size / (diagonal[i] + l2), 0.0) - w[:, i]
+            moved = np.flatnonzero(step)
+            if len(moved):
+                rest[moved] -= step[moved, None] * g[i]
+                w[moved, i] += step[moved]
+                most[moved] = np.maximum(most[moved], np.abs(step[moved]))
+        out[live] = w
+        going = most >= tol
+        if not going.any():
             break
-    return w
+        live, w, rest, able = live[going], w[going], rest[going], able[going]
+    return out
 
 
 @dataclass
@@ -266,12 +276,13 @@ class SparseLinearModel(_ByWeights):
         def kernel(batches):
             ids, g = held.value
             for batch in batches:
-                for j in batch.column(0).to_numpy():
-                    w = slim_column(g, int(j), *args)
-                    i = np.flatnonzero(w)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(np.full(len(i), ids[j])), pa.array(w[i])], names=["src", "dst", "weight"])
+                for lo in range(0, batch.num_rows, 64):
+                    targets = batch.column(0).to_numpy()[lo : lo + 64]
+                    w = slim_columns(g, targets, *args)
+                    j, i = np.nonzero(w)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[targets[j]]), pa.array(w[j, i])], names=["src", "dst", "weight"])
 
-        targets = spark.range(len(ids)).repartition(min(max(1, len(ids) // 8), 4 * spark.sparkContext.defaultParallelism))
+        targets = spark.range(len(ids)).repartition(min(max(1, len(ids) // 32), 4 * spark.sparkContext.defaultParallelism))
         return {"weights": stow(targets.mapInArrow(kernel, "src long, dst long, weight double"))}
 
 

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when its counted rows times its row width stay below this.
 BROADCAST_BYTES = 48 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is configured (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is configured and the master is local."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomrec-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -37,15 +39,15 @@ def stow(df: DataFrame, *, compression: str = "zstd", buckets: tuple[int, str] |
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stow-{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression)
+    name = f"loomrec_{uuid.uuid4().hex}" if buckets else None
+    _written.append((spark, path, name))  # before the write, so that what a failed one leaves is deleted too
     if buckets:
-        name = f"loomrec_{uuid.uuid4().hex}"
         writer.format("parquet").bucketBy(*buckets).option("path", path).saveAsTable(name)
         out = spark.table(name)
         out._stowed_as = name
     else:
         writer.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
-    _written.append((spark, path))
     out._stowed_at = path
     return out
 
@@ -68,8 +70,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, name in _written:
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return

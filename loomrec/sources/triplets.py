@@ -120,17 +120,25 @@ def from_ratings(rows: DataFrame, users: DataFrame, items: DataFrame, *, same: t
     return Interactions(clean_ratings(rows, same=same), users.select("user_id"), items.select("item_id"))
 
 
-def index_ids(ids: DataFrame, column: str) -> DataFrame:
-    """``column, idx`` with idx = 0.. in order of the id, without a single-task sort: range partitions are numbered and offset."""
-    ordered = ids.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """``rows`` with ``name`` = 0.. in the given order, without a single-task sort: range partitions are numbered and offset.
+
+    Rows equal under the whole order are numbered in no particular one."""
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stow(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()))
     starts = placed.groupBy("_p").agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).orderBy("_p").collect()
     offsets, total = [], 0
     for r in starts:
         offsets.append((r["_p"], r["_first"], total))
         total += r["_n"]
-    table = ids.sparkSession.createDataFrame(offsets, "_p int, _first long, _start long")
-    return placed.join(F.broadcast(table), "_p").select(column, (F.col("_k") - F.col("_first") + F.col("_start")).alias("idx"))
+    table = rows.sparkSession.createDataFrame(offsets, "_p int, _first long, _start long")
+    at = (F.col("_k") - F.col("_first") + F.col("_start")).alias(name)
+    return placed.join(F.broadcast(table), "_p").select(*rows.columns, at)  # a row a partition
+
+
+def index_ids(ids: DataFrame, column: str) -> DataFrame:
+    """``column, idx`` with idx = 0.. in order of the id."""
+    return numbered(ids.select(column).distinct(), "idx", column)
 
 
 def require_finite(matrix: Interactions, model: str) -> None:

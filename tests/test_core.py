@@ -91,6 +91,13 @@ def test_ranking_checks(spark):
         with pytest.raises(ValueError):
             check_rankings(bad, users, items, k)
     assert check_rankings(recs(spark, [1, 2, 2]), users, items, 2) == 2
+    truth = spark.createDataFrame([(1, 1, 1.0)], "user_id long, item_id long, value double")
+    twice = recs(spark, [1, 1])
+    with pytest.raises(ValueError):
+        ranking_metrics(twice, truth, users, 2)
+    with pytest.raises(ValueError):
+        mean_ap_at_k(recs(spark, [1, 99]), truth, users, 2, items=items)
+    assert ranking_metrics(twice, truth, users, 2, check=False).count() == users.count()
 
 
 def test_holdout(spark, random_matrix):

@@ -66,6 +66,31 @@ def test_joined_path_equals_broadcast(spark, random_matrix, monkeypatch):
         assert factors(a.item_factors) == pytest.approx(factors(b.item_factors), abs=1e-8)
 
 
+def test_joined_path_from_the_same_seed_folds_in_and_recommends(spark, random_matrix, monkeypatch):
+    for args in (dict(feedback="implicit"), dict(feedback="explicit")):
+        a = WeightedMF(rank=3, max_iter=2, tol=-1, seed=5, **args).fit(random_matrix)
+        monkeypatch.setattr(WeightedMF, "broadcast_bytes", 10)
+        b = WeightedMF(rank=3, max_iter=2, tol=-1, seed=5, **args).fit(random_matrix)
+        folded, ranked = b.transform(random_matrix), b.recommend(random_matrix, 5).collect()
+        monkeypatch.undo()
+        assert factors(a.user_factors) == pytest.approx(factors(b.user_factors), abs=1e-8)
+        assert factors(a.transform(random_matrix)) == pytest.approx(factors(folded), abs=1e-8)
+        assert {(r["user_id"], r["rank"], r["item_id"]) for r in ranked} == {
+            (r["user_id"], r["rank"], r["item_id"]) for r in a.recommend(random_matrix, 5).collect()
+        }
+
+
+def test_hot_entity_in_joined_parts(spark, random_matrix, monkeypatch):
+    import loomrec.plans.factorization as fm
+
+    sweep = fm.half_sweep_joined
+    monkeypatch.setattr(WeightedMF, "broadcast_bytes", 10)
+    a = WeightedMF(rank=2, max_iter=1, tol=-1).fit(random_matrix)
+    monkeypatch.setattr(fm, "half_sweep_joined", lambda *args: sweep(*args, segment=3, group=7))
+    b = WeightedMF(rank=2, max_iter=1, tol=-1).fit(random_matrix)
+    assert factors(a.user_factors) == pytest.approx(factors(b.user_factors), abs=1e-10)
+
+
 def test_hot_entity_in_segments(spark, random_matrix, monkeypatch):
     import loomrec.operators.normal_equations as ne
 
