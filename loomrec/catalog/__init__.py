@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomrec.catalog import rating, similarity, skew, structure
+from loomrec.catalog import guards, rating, similarity, skew, structure
 
-_MODULES = (structure, similarity, rating, skew)
+_MODULES = (structure, similarity, rating, guards, skew)
 
 
 def queries():

@@ -190,6 +190,129 @@ def biased_mf_rank1(spark, sf):
     return out[0].union(out[1])
 
 
+@query(
+    _biased()
+    + """, su2 AS (SELECT e.user_id, count(d.value) AS n, coalesce(sum(o.f * o.f), 0) AS yy, coalesce(sum(o.f), 0) AS y,
+      coalesce(sum(d.value - m - o.b), 0) AS r, coalesce(sum(o.f * (d.value - m - o.b)), 0) AS yr
+      FROM mu, users e LEFT JOIN x d ON d.user_id = e.user_id LEFT JOIN v1 o ON o.item_id = d.item_id GROUP BY 1),
+    q AS (SELECT sum(f * f) + 0.1 AS q FROM v1),
+    u2 AS (SELECT user_id, (yr * (n + 0.2) - y * r) / ((q + yy) * (n + 0.2) - y * y) AS f,
+      ((q + yy) * r - y * yr) / ((q + yy) * (n + 0.2) - y * y) AS b FROM su2, q),
+    g AS (SELECT u2.user_id, v1.item_id, u2.f * v1.f + v1.b AS s FROM u2 CROSS JOIN v1
+      ANTI JOIN x ON x.user_id = u2.user_id AND x.item_id = v1.item_id),
+    r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, item_id) AS rank FROM g)
+    SELECT user_id, rank, item_id FROM r WHERE rank <= 5"""
+)
+def biased_mf_recommend(spark, sf):
+    m, model = _wmf(spark, sf, feedback="explicit", max_iter=1)
+    got = model.recommend(m, 5).filter("score IS NOT NULL")
+    return got.select("user_id", F.col("rank").cast("long").alias("rank"), "item_id")
+
+
+@query(
+    _biased()
+    + """ SELECT round(sum(pow(value - m - u1.b - v1.b - u1.f * v1.f, 2)) + 0.1 * ((SELECT sum(f * f + b * b) FROM u1) + (SELECT sum(f * f + b * b) FROM v1)), 3) AS loss
+    FROM mu, x JOIN u1 ON u1.user_id = x.user_id JOIN v1 ON v1.item_id = x.item_id"""
+)
+def biased_mf_loss(spark, sf):
+    m, model = _wmf(spark, sf, feedback="explicit", max_iter=1)
+    return spark.createDataFrame([(model.loss(m),)], "loss double").withColumn("loss", F.round("loss", 3))
+
+
+def _als2(data: str, w: str, t: str, reg: float, sweeps: int = 1) -> str:
+    """Unrolled rank-2 sweeps by explicit 2 x 2 solves; w and t as in _als."""
+    source = "xp" if data == XP else "x"
+    parts = [data, "v0 AS (SELECT item_id, 0.1 + 0.01 * (item_id % 7) AS f, 0.1 - 0.02 * (item_id % 3) AS g FROM items)"]
+    for n in range(1, sweeps + 1):
+        for mine, other, key, fixed, everyone in (("u", "v", "user_id", "item_id", "users"), ("v", "u", "item_id", "user_id", "items")):
+            old = f"{other}{n - 1 if mine == 'u' else n}"
+            parts.append(f"t{mine}{n} AS (SELECT sum(f * f) + {reg} AS ff, sum(f * g) AS fg, sum(g * g) + {reg} AS gg FROM {old})")
+            parts.append(
+                f"s{mine}{n} AS (SELECT e.{key}, coalesce(sum({w} * o.f * o.f), 0) AS ff, coalesce(sum({w} * o.f * o.g), 0) AS fg, coalesce(sum({w} * o.g * o.g), 0) AS gg, "
+                f"coalesce(sum({t} * o.f), 0) AS p, coalesce(sum({t} * o.g), 0) AS q FROM {everyone} e LEFT JOIN {source} d ON d.{key} = e.{key} "
+                f"LEFT JOIN {old} o ON o.{fixed} = d.{fixed} GROUP BY 1)"
+            )
+            parts.append(
+                f"a{mine}{n} AS (SELECT s.{key}, s.ff + t.ff AS ff, s.fg + t.fg AS fg, s.gg + t.gg AS gg, p, q FROM s{mine}{n} s, t{mine}{n} t)"
+            )
+            parts.append(
+                f"{mine}{n} AS MATERIALIZED (SELECT {key}, (gg * p - fg * q) / (ff * gg - fg * fg) AS f, (ff * q - fg * p) / (ff * gg - fg * fg) AS g FROM a{mine}{n})"
+            )
+    return "WITH " + ", ".join(parts)
+
+
+def _start2(universe):
+    i = F.col("item_id")
+    return universe.select(i.alias("id"), F.array(F.lit(0.1) + F.lit(0.01) * (i % 7), F.lit(0.1) - F.lit(0.02) * (i % 3)).alias("factors"))
+
+
+_BOTH2 = " SELECT 'user' AS side, user_id AS id, round(f, 4) AS f, round(g, 4) AS g FROM u1 UNION ALL SELECT 'item', item_id, round(f, 4), round(g, 4) FROM v1"
+
+
+def _both2(model):
+    def one(df, side):
+        return df.select(F.lit(side).alias("side"), "id", *(F.round(F.col("factors")[k], 4).alias(c) for k, c in enumerate("fg")))
+
+    return one(model.user_factors, "user").union(one(model.item_factors, "item"))
+
+
+_WMF2 = _als2(X, f"({_CONF} - 1)", _CONF, 5.0)
+
+
+def _wmf2(spark, sf, **args):
+    m = matrix(spark, sf).settled()
+    model = WeightedMF(**(dict(rank=2, reg=5.0, solver="cholesky", max_iter=1, tol=-1) | args))
+    return m, model.fit(m, item_init=_start2(m.items))
+
+
+@query(_WMF2 + _BOTH2)
+def als_rank2(spark, sf):
+    return _both2(_wmf2(spark, sf)[1])
+
+
+@query(_WMF2 + _BOTH2)
+def als_cg_rank2(spark, sf):
+    """Conjugate gradients end at the solution of a 2 x 2 system after two steps, so the twin is the one of the direct solver."""
+    return _both2(_wmf2(spark, sf, solver="cg", cg_steps=2)[1])
+
+
+_CACHED2 = _als2(XP, "4 * value", "(1 + 4 * value)", 5.0)
+
+
+def _cached2(spark, sf, **args):
+    m = nonnegative(spark, sf).settled()
+    return m, CachedALS(**(dict(rank=2, reg=5.0, alpha=4.0, max_iter=1, tol=-1) | args)).fit(m, item_init=_start2(m.items))
+
+
+@query(_CACHED2 + _BOTH2)
+def cached_als_rank2(spark, sf):
+    return _both2(_cached2(spark, sf)[1])
+
+
+@query(f"""{_CACHED2} SELECT round(sum((1 + 4 * value) * pow(1 - u1.f * v1.f - u1.g * v1.g, 2)) + 5 * ((SELECT sum(f * f + g * g) FROM u1) + (SELECT sum(f * f + g * g) FROM v1)), 2) AS loss
+    FROM xp JOIN u1 USING (user_id) JOIN v1 USING (item_id)""")
+def cached_als_loss(spark, sf):
+    m, model = _cached2(spark, sf)
+    return spark.createDataFrame([(model.loss(m),)], "loss double").withColumn("loss", F.round("loss", 2))
+
+
+@query(f"""{_CACHED2}, g AS (SELECT u1.user_id, v1.item_id, u1.f * v1.f + u1.g * v1.g AS s FROM u1 CROSS JOIN v1
+    ANTI JOIN xp ON xp.user_id = u1.user_id AND xp.item_id = v1.item_id),
+  r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, item_id) AS rank FROM g)
+  SELECT user_id, rank, item_id FROM r WHERE rank <= 10""")
+def cached_als_recommend_rank2(spark, sf):
+    m, model = _cached2(spark, sf)
+    got = model.recommend(m, 10).filter("score IS NOT NULL")
+    return got.select("user_id", F.col("rank").cast("long").alias("rank"), "item_id")
+
+
+@query(f"""{_CACHED2} SELECT user_id, count(*) AS n, round(sum(u1.f * v1.f + u1.g * v1.g), 3) AS total, round(max(u1.f * v1.f + u1.g * v1.g), 4) AS best
+  FROM u1 CROSS JOIN v1 GROUP BY 1""")
+def all_pair_scores(spark, sf):
+    scored = _cached2(spark, sf)[1].score()
+    return scored.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 4).alias("best"))
+
+
 _WEIGHTS = f"WITH {X}, d AS (SELECT i.item_id, count(x.user_id) AS f FROM items i LEFT JOIN x USING (item_id) GROUP BY 1), c AS MATERIALIZED (SELECT item_id, greatest(sqrt(f) / (SELECT sum(sqrt(f)) FROM d), 1e-12) AS c FROM d)"
 
 
@@ -198,15 +321,41 @@ def eals_item_weights(spark, sf):
     return unobserved_weights(matrix(spark, sf), 1.0, 0.5).withColumn("weight", F.round("weight", 9))
 
 
-@query(f"""{_WEIGHTS}, v0 AS (SELECT item_id, 0.1 + 0.01 * (item_id % 7) AS f FROM items),
+_ELEMENTWISE = f"""{_WEIGHTS}, v0 AS (SELECT item_id, 0.1 + 0.01 * (item_id % 7) AS f FROM items),
   u1 AS MATERIALIZED (SELECT e.user_id, CASE WHEN count(x.value) = 0 THEN 0.1 + 0.01 * (e.user_id % 5) ELSE sum(o.f * (1 + c)) / ((SELECT sum(c * f * f) FROM v0 JOIN c USING (item_id)) + 0.01 + sum(o.f * o.f)) END AS f
     FROM users e LEFT JOIN x ON x.user_id = e.user_id LEFT JOIN v0 o ON o.item_id = x.item_id LEFT JOIN c ON c.item_id = x.item_id GROUP BY 1),
-  v1 AS (SELECT c.item_id, coalesce(sum(u1.f * (1 + c.c)) / (max(c.c) * (SELECT sum(f * f) FROM u1) + 0.01 + sum(u1.f * u1.f)), 0) AS f FROM c LEFT JOIN x ON x.item_id = c.item_id LEFT JOIN u1 ON u1.user_id = x.user_id GROUP BY 1)
-  SELECT 'user' AS side, user_id AS id, round(f, 6) AS factor FROM u1 UNION ALL SELECT 'item', item_id, round(f, 6) FROM v1""")
+  v1 AS (SELECT c.item_id, coalesce(sum(u1.f * (1 + c.c)) / (max(c.c) * (SELECT sum(f * f) FROM u1) + 0.01 + sum(u1.f * u1.f)), 0) AS f FROM c LEFT JOIN x ON x.item_id = c.item_id LEFT JOIN u1 ON u1.user_id = x.user_id GROUP BY 1)"""
+
+
+@query(f"{_ELEMENTWISE} SELECT 'user' AS side, user_id AS id, round(f, 6) AS factor FROM u1 UNION ALL SELECT 'item', item_id, round(f, 6) FROM v1")
 def elementwise_als_rank1(spark, sf):
+    return _both(_elementwise(spark, sf)[1])
+
+
+def _elementwise(spark, sf):
     m = matrix(spark, sf).settled()
     model = ElementwiseALS(rank=1, max_iter=1, tol=-1)
-    return _both(model.fit(m, start(m.users, "user_id", 5), start(m.items, "item_id", 7)))
+    return m, model.fit(m, start(m.users, "user_id", 5), start(m.items, "item_id", 7))
+
+
+@query(f"""{_ELEMENTWISE}, s AS (SELECT sum((1 + c) * pow(1 - u1.f * v1.f, 2) - c * pow(u1.f * v1.f, 2)) AS s
+    FROM x JOIN u1 ON u1.user_id = x.user_id JOIN v1 ON v1.item_id = x.item_id JOIN c ON c.item_id = x.item_id)
+  SELECT round(s + (SELECT sum(f * f) FROM u1) * (SELECT sum(c * f * f) FROM v1 JOIN c USING (item_id))
+    + 0.01 * ((SELECT sum(f * f) FROM u1) + (SELECT sum(f * f) FROM v1)), 3) AS loss FROM s""")
+def elementwise_als_loss(spark, sf):
+    m, model = _elementwise(spark, sf)
+    return spark.createDataFrame([(model.loss(m),)], "loss double").withColumn("loss", F.round("loss", 3))
+
+
+@query(f"""{_ELEMENTWISE}, w1 AS MATERIALIZED (SELECT e.user_id, CASE WHEN count(x.value) = 0 THEN max(b.f)
+    ELSE sum(o.f * (1 + c)) / ((SELECT sum(c * f * f) FROM v1 JOIN c USING (item_id)) + 0.01 + sum(o.f * o.f)) END AS f
+    FROM users e JOIN u1 b ON b.user_id = e.user_id LEFT JOIN x ON x.user_id = e.user_id LEFT JOIN v1 o ON o.item_id = x.item_id
+    LEFT JOIN c ON c.item_id = x.item_id GROUP BY 1)
+  SELECT user_id AS id, round(f, 6) AS factor FROM w1""")
+def elementwise_als_update(spark, sf):
+    """One more pass from the fitted factors over the same interactions; the users' side, which is solved first."""
+    m, model = _elementwise(spark, sf)
+    return model.update(m).user_factors.select("id", F.round(F.col("factors")[0], 6).alias("factor"))
 
 
 def _svd(reg: float, steps: int = 2) -> str:

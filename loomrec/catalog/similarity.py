@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomrec.catalog.data import HELD, X, XP, factor_sql, factors, heldout, matrix, nonnegative
 from loomrec.operators import topk
 from loomrec.operators.metrics import ranking_metrics
-from loomrec.plans.itemsim import GraphRandomWalk, ItemKNN, ShallowAutoencoder, SparseLinearADMM, SparseLinearModel
+from loomrec.plans.itemsim import GraphRandomWalk, ItemKNN, ShallowAutoencoder, SparseLinearADMM, SparseLinearModel, dense_gram
 from loomrec.scratch import stow
 from loomrec.sources.triplets import Interactions
 
@@ -237,3 +239,63 @@ def _linear(name, model):
 _linear("shallow_autoencoder", lambda: ShallowAutoencoder(l2=50.0))
 _linear("sparse_linear", lambda: SparseLinearModel(l1=1.0, l2=10.0))
 _linear("sparse_linear_admm", lambda: SparseLinearADMM(l1=0.01))
+
+
+def _dense(m: Interactions, weights) -> tuple:
+    """Item ids, the Gram matrix and the fitted weights as matrices, within the models' own memory guard."""
+    ids, g = dense_gram(m, 4, 4 << 30, "conditions")
+    got, w = weights.toArrow(), np.zeros_like(g)
+    w[np.searchsorted(ids, got["src"].to_numpy()), np.searchsorted(ids, got["dst"].to_numpy())] = got["weight"].to_numpy()
+    return ids, g, w
+
+
+_OTHERS = f"""WITH {X}, g AS (SELECT a.item_id AS src, b.item_id AS dst, sum(a.value * b.value) AS dot FROM x a JOIN x b USING (user_id)
+  WHERE a.item_id <> b.item_id GROUP BY 1, 2 HAVING sum(a.value * b.value) <> 0)"""
+
+
+@query(f"{_OTHERS} SELECT src, dst, round(dot, 3) AS product FROM g")
+def shallow_autoencoder_conditions(spark, sf):
+    """Over all items: beside the diagonal (X'X + l2 I) B equals X'X, which holds for the minimum alone."""
+    m = matrix(spark, sf).settled()
+    ids, g, b = _dense(m, ShallowAutoencoder(l2=50.0).fit(m).weights)
+    product = (g + 50.0 * np.eye(len(g))) @ b
+    i, j = np.nonzero((g != 0) & ~np.eye(len(g), dtype=bool))
+    rows = pa.table({"src": ids[i], "dst": ids[j], "product": np.round(product[i, j], 3) + 0.0})
+    return spark.createDataFrame(rows, "src long, dst long, product double")
+
+
+def _subgradients(spark, sf, model, slack: float):
+    """A row an item of all: how many others it may draw on (X'X not 0) and how many of them break the conditions of the minimum:
+    the gradient equals l1 where the weight is positive and is not above it where it is 0, up to ``slack`` of the diagonal."""
+    m = matrix(spark, sf).settled()
+    ids, g, w = _dense(m, model.fit(m).weights)
+    able = (g != 0) & ~np.eye(len(g), dtype=bool)
+    gradient, room = g - g @ w - model.l2 * w, slack * (np.diag(g)[:, None] + model.l2)
+    broken = able & np.where(w > 0, np.abs(gradient - model.l1) > room, gradient - model.l1 > room)
+    broken |= (w != 0) & ~able
+    rows = pa.table({"item_id": ids, "n_able": able.sum(axis=0), "broken": broken.sum(axis=0)})
+    return spark.createDataFrame(rows, "item_id long, n_able long, broken long")
+
+
+_CONDITIONS = f"{_OTHERS} SELECT i.item_id, count(g.src) AS n_able, 0::BIGINT AS broken FROM items i LEFT JOIN g ON g.dst = i.item_id GROUP BY 1"
+
+
+@query(_CONDITIONS)
+def sparse_linear_conditions(spark, sf):
+    return _subgradients(spark, sf, SparseLinearModel(l1=1.0, l2=10.0, max_iter=5_000, tol=1e-6), 1e-4)
+
+
+@query(f"{_OTHERS} SELECT src, dst, round(dot, 3) AS product FROM g")
+def sparse_linear_admm_step(spark, sf):
+    """The first step over all items without threshold: (X'X + (l2 + rho) I) Z equals X'X beside the diagonal, up to the factor by
+    which the zeroed diagonal changes a column.  (The method zeroes the diagonal after solving, so its limit is not that of
+    coordinate descent and has no such conditions.)"""
+    m = matrix(spark, sf).settled()
+    model = SparseLinearADMM(l1=0.0, l2=100.0, rho=100.0, max_iter=1, nonnegative=False)
+    ids, g, z = _dense(m, model.fit(m).weights)
+    system = g + 200.0 * np.eye(len(g))
+    column = 1 - np.diag(np.linalg.solve(system, g))
+    product = system @ z / column[None, :]
+    i, j = np.nonzero((g != 0) & ~np.eye(len(g), dtype=bool))
+    rows = pa.table({"src": ids[i], "dst": ids[j], "product": np.round(product[i, j], 3) + 0.0})
+    return spark.createDataFrame(rows, "src long, dst long, product double")
