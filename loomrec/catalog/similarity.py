@@ -282,7 +282,8 @@ _CONDITIONS = f"{_OTHERS} SELECT i.item_id, count(g.src) AS n_able, 0::BIGINT AS
 
 @query(_CONDITIONS)
 def sparse_linear_conditions(spark, sf):
-    return _subgradients(spark, sf, SparseLinearModel(l1=1.0, l2=10.0, max_iter=5_000, tol=1e-6), 1e-4)
+    """With a penalty strong enough for coordinate descent to converge within the sweeps; weaker ones need thousands of sweeps."""
+    return _subgradients(spark, sf, SparseLinearModel(l1=5_000.0, l2=2_000.0, max_iter=1_000, tol=1e-7), 1e-3)
 
 
 @query(f"{_OTHERS} SELECT src, dst, round(dot, 3) AS product FROM g")
