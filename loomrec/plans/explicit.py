@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.operators.matrix import global_mean
-from loomrec.operators.pairs import both_ways, pair_sums
+from loomrec.operators.pairs import both_ways, nearest_rows, pair_sums
 from loomrec.operators.topk import DIGITS
 from loomrec.plans.base import ExplicitModel
 from loomrec.scratch import discard, stow
@@ -127,20 +127,15 @@ class PearsonKNN(_Predictor):
         x = matrix.x
         means = stow(x.groupBy("user_id").agg(F.avg("value").alias("mean"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")))
         centred = stow(x.join(means, "user_id").select("user_id", "item_id", (F.col("value") - F.col("mean")).alias("c")))
-        pairs = pair_sums(centred, "item_id", "user_id", "c")
-        for side in ("i", "j"):
-            pairs = pairs.join(means.select(F.col("user_id").alias(side), F.col("norm").alias(f"n_{side}")), side)
-        low = F.col("n_i") * F.col("n_j")
-        similar = both_ways(pairs.withColumn("ab", F.col("ab") / F.when(low > 0, low)).withColumn("ba", F.col("ab")))
-        similar = similar.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), F.col("ab").alias("similarity"))
-        # Sums that cancel to nothing are no positive similarity.
-        similar = similar.filter(F.round("similarity", 12) > 0)
-        order = Window.partitionBy("user_id").orderBy(F.desc(F.round("similarity", DIGITS)), "other")
-        kept = similar.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= self.k)
+        length = F.col("norm")
+        unit = x.join(means, "user_id").select("user_id", "item_id", ((F.col("value") - F.col("mean")) / F.when(length > 0, length)).alias("c"))
+        kept = nearest_rows(unit.filter("c <> 0"), "item_id", "user_id", "c", self.k, DIGITS)
+        kept = kept.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "similarity")
         if self.min_k > 1:
-            enough = kept.groupBy("user_id").agg(F.max("n").alias("n")).filter(F.col("n") >= self.min_k)
+            kept = stow(kept)
+            enough = kept.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_k)
             kept = kept.join(enough.select("user_id"), "user_id", "left_semi")
-        return {"neighbours": stow(kept.drop("n")), "centred": centred, "user_means": means.select("user_id", "mean")}
+        return {"neighbours": stow(kept), "centred": centred, "user_means": means.select("user_id", "mean")}
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """``user_id, item_id, prediction``; an unknown user is predicted 0."""

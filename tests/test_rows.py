@@ -27,3 +27,19 @@ def test_user_pairs_are_not_shuffled(spark, random_matrix):
     plan = physical(gram(random_matrix, side="user", diagonal=False))
     assert "MapInArrow" in plan and "Exchange" not in plan
     assert not gram(random_matrix, side="user", diagonal=False).filter("src = dst").count()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_nearest_rows(spark, block):
+    from loomrec.operators.pairs import nearest_rows
+
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((60, 12)) < 0.3, rng.integers(-2, 3, (60, 12)), 0).astype(float)
+    rows = spark.createDataFrame([(int(u) + 1, int(i), float(a[u, i])) for u, i in zip(*np.nonzero(a))], "u long, g long, v double")
+    got = {}
+    for r in nearest_rows(rows, "g", "u", "v", 5, 9, block_bytes=block).collect():
+        got.setdefault(r["src"], []).append((-r["similarity"], r["dst"]))
+    s = a @ a.T
+    for u in range(60):  # whole numbers: many ties, which go to the smaller id
+        want = sorted((-s[u, o], o + 1) for o in range(60) if o != u and s[u, o] > 0)[:5]
+        assert sorted(got.get(u + 1, [])) == want
