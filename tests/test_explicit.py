@@ -56,3 +56,32 @@ def test_error_metrics(spark):
         rmse(same.limit(1), truth)
     with pytest.raises(ValueError):
         mae(same, truth.limit(0))
+
+
+def test_pearson_shuffles_no_pairs(spark, random_matrix, monkeypatch):
+    """Neighbours and predictions, by brute force, without the pair sums that filled the disk."""
+    from loomrec.plans import explicit
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("pairs of users are summed after a shuffle")
+
+    monkeypatch.setattr(explicit, "pair_sums", refuse)
+    model = explicit.PearsonKNN(k=7).fit(random_matrix)
+    by = {}
+    for r in random_matrix.x.collect():
+        by.setdefault(r["user_id"], {})[r["item_id"]] = r["value"]
+    mean = {u: sum(v.values()) / len(v) for u, v in by.items()}
+    norm = {u: sum(x * x for x in v.values()) ** 0.5 for u, v in by.items()}
+    near = {}
+    for u in by:
+        s = [(sum((by[u][i] - mean[u]) * (by[o][i] - mean[o]) for i in by[u].keys() & by[o].keys()) / (norm[u] * norm[o]), o) for o in by if o != u]
+        near[u] = sorted((-round(x, 9), o, x) for x, o in s if round(x, 12) > 0)[:7]
+    got = {(r["user_id"], r["other"]): r["similarity"] for r in model.neighbours.collect()}
+    assert set(got) == {(u, o) for u in near for _, o, _ in near[u]}
+    assert all(abs(got[u, o] - x) < 1e-12 for u in near for _, o, x in near[u])
+    asked = spark.createDataFrame([(u, i) for u in range(1, 41) for i in range(1, 26)], "user_id long, item_id long")
+    for r in model.predict(asked).collect():
+        u, i = r["user_id"], r["item_id"]
+        met = [(x, by[o][i] - mean[o]) for _, o, x in near.get(u, []) if i in by[o]]
+        want = mean.get(u, 0.0) + (sum(x * c for x, c in met) / sum(x for x, _ in met) if met else 0.0)
+        assert abs(r["prediction"] - want) < 1e-9
