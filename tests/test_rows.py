@@ -43,3 +43,20 @@ def test_nearest_rows(spark, block):
     for u in range(60):  # whole numbers: many ties, which go to the smaller id
         want = sorted((-s[u, o], o + 1) for o in range(60) if o != u and s[u, o] > 0)[:5]
         assert sorted(got.get(u + 1, [])) == want
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_score_totals(spark, block):
+    from loomrec.operators.topk import score_totals
+
+    rng = np.random.default_rng(4)
+    u, v = rng.normal(size=(30, 3)), rng.normal(size=(300, 3)) * rng.random((300, 1)) ** 4
+    u[7] = 0
+    v[:200] -= 5  # some users have no score above 0
+    frame = lambda a: spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(a)], "id long, factors array<double>")
+    totals = score_totals(frame(u), frame(v), block_bytes=block)
+    assert not any(x in physical(totals) for x in ("NestedLoop", "Cartesian"))
+    got = {r["user_id"]: r for r in totals.collect()}
+    assert len(got) == 30
+    for i, s in enumerate(u @ v.T):
+        assert got[i]["n"] == 300 and np.isclose(got[i]["total"], s.sum()) and np.isclose(got[i]["best"], s.max())
