@@ -60,3 +60,51 @@ def test_score_totals(spark, block):
     assert len(got) == 30
     for i, s in enumerate(u @ v.T):
         assert got[i]["n"] == 300 and np.isclose(got[i]["total"], s.sum()) and np.isclose(got[i]["best"], s.max())
+
+
+@pytest.mark.parametrize("biased", [False, True])
+def test_dense_kernel_leaves_out_what_cant_reach_the_list(biased):
+    """Equal to full scoring, ties, hidden items and users without factors included, and most scores are never computed."""
+    import pyarrow as pa
+
+    from loomrec.operators.topk import _dense_kernel
+
+    rng, n, k = np.random.default_rng(6), 3_000, 5
+    ids = np.sort(rng.choice(10_000, n, replace=False)).astype(np.int64)
+    table = np.round(np.abs(rng.normal(size=(n, 3))), 1) * np.where(rng.random((n, 1)) < 0.05, 1, 0.1)
+    table[rng.random(n) < 0.1] = 0
+    bias = np.round(rng.normal(size=n), 1) if biased else None
+    users = np.round(np.abs(rng.normal(size=(40, 3))), 1)
+    users[3] = 0
+    users[5] *= -1
+    seen = [list(rng.choice(ids, 20, replace=False)) for _ in users]
+    seen[9], seen[10] = list(ids[2:]), list(ids)  # fewer unseen items than k
+    seen[3] = list(ids[:3]) + [-7]
+    batch = pa.record_batch([pa.array(np.arange(40)), pa.array([list(u) for u in users]), pa.array([[int(i) for i in s] for s in seen], pa.list_(pa.int64()))], names=["a", "b", "c"])
+    got = {}
+    for out in _dense_kernel([batch], ids, table, bias, k):
+        for u, i, v, hidden in zip(*(c.to_pylist() for c in out.columns)):
+            got.setdefault(u, []).append((hidden, 0.0 if hidden else -v, i))
+    for u in range(40):
+        s = np.round(users[u] @ table.T + (bias if biased else 0), 9) + 0.0
+        own = set(seen[u])
+        want = sorted((int(i) in own, 0.0 if int(i) in own else -x, int(i)) for i, x in zip(ids, s))[:k]
+        assert sorted(got[u]) == want
+
+
+def test_dense_kernel_work(monkeypatch):
+    import pyarrow as pa
+
+    from loomrec.operators import topk
+
+    rng = np.random.default_rng(8)
+    table = np.abs(rng.normal(size=(20_000, 4)))
+    table[2_000:] *= 0.01
+    ranked = []
+    rounded = np.round
+    monkeypatch.setattr(topk.np, "round", lambda x, *a: ranked.append(np.size(x)) or rounded(x, *a))
+    users = np.abs(rng.normal(size=(200, 4)))
+    batch = pa.record_batch([pa.array(np.arange(200)), pa.array(list(users)), pa.array([[]] * 200, pa.list_(pa.int64()))], names=["a", "b", "c"])
+    out = list(topk._dense_kernel([batch], np.arange(20_000), table, None, 10))
+    assert sum(b.num_rows for b in out) == 2_000
+    assert sum(ranked) < 200 * 20_000 / 10  # every score was rounded and ranked before
