@@ -108,3 +108,19 @@ def test_dense_kernel_work(monkeypatch):
     out = list(topk._dense_kernel([batch], np.arange(20_000), table, None, 10))
     assert sum(b.num_rows for b in out) == 2_000
     assert sum(ranked) < 200 * 20_000 / 10  # every score was rounded and ranked before
+
+
+def test_joined_sweep_ships_no_systems_of_cold_entities(spark, random_matrix, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomrec.operators import normal_equations as ne
+
+    seen, keep = [], ne.stow
+    monkeypatch.setattr(ne, "stow", lambda df, **a: seen.append(df.columns) or keep(df, **a))
+    vectors = lambda ids, c: ids.select(F.col(c).alias("id"), F.array(F.lit(0.1), (F.col(c) % 3) / 10).alias("factors"), F.lit(0.0).alias("extra"))
+    u, v = vectors(random_matrix.users, "user_id"), vectors(random_matrix.items, "item_id")
+    got = ne.half_sweep_joined(random_matrix.x, "user_id", "item_id", random_matrix.users, ne.Rules("cached", base=np.eye(2)), u, v)
+    assert got.count() == 40 and hasattr(got, "_stowed_at")
+    assert len(seen) == 2  # the hot entities, of which there are none, and the result: no second pass over systems
+    path = got._stowed_at
+    assert not spark.read.parquet(path).filter("s IS NOT NULL").count()
