@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.operators.matrix import global_mean
-from loomrec.operators.pairs import both_ways, nearest_rows, pair_sums
+from loomrec.operators.pairs import both_ways, nearest_rows, neighbour_sums, pair_sums
 from loomrec.operators.topk import DIGITS
 from loomrec.plans.base import ExplicitModel
-from loomrec.scratch import discard, stow
+from loomrec.scratch import discard, small_enough, spread, stow
 from loomrec.sources.triplets import Interactions, require_dimensions, require_finite
 
 
@@ -124,26 +124,35 @@ class PearsonKNN(_Predictor):
         matrix = matrix.settled()
         require_dimensions(matrix, "PearsonKNN")
         require_finite(matrix, "PearsonKNN")
-        x = matrix.x
-        means = stow(x.groupBy("user_id").agg(F.avg("value").alias("mean"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")))
-        centred = stow(x.join(means, "user_id").select("user_id", "item_id", (F.col("value") - F.col("mean")).alias("c")))
-        length = F.col("norm")
-        unit = x.join(means, "user_id").select("user_id", "item_id", ((F.col("value") - F.col("mean")) / F.when(length > 0, length)).alias("c"))
-        kept = nearest_rows(unit.filter("c <> 0"), "item_id", "user_id", "c", self.k, DIGITS)
+        # One shuffle of the ratings by user; means, centred ratings and unit rows are read off its result.
+        entry = F.struct(F.col("item_id").cast("long").alias("g"), "value")
+        size = F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")
+        rows = spread(matrix.x, "user_id").groupBy("user_id").agg(F.avg("value").alias("mean"), size, F.array_sort(F.collect_list(entry)).alias("e"))
+        rows = stow(rows)
+        centred = rows.select("user_id", "mean", F.inline("e")).select("user_id", F.col("g").alias("item_id"), (F.col("value") - F.col("mean")).alias("c"))
+        unit = F.transform("e", lambda e: F.struct(e["g"].alias("g"), ((e["value"] - F.col("mean")) / F.when(F.col("norm") > 0, F.col("norm"))).alias("v")))
+        lists = rows.select(F.col("user_id").cast("long").alias("m"), F.filter(unit, lambda e: e["v"] != 0).alias("e")).filter(F.size("e") > 0)
+        kept = nearest_rows(lists.select("m", F.inline("e")), "g", "m", "v", self.k, DIGITS, lists=lists)
         kept = kept.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "similarity")
         if self.min_k > 1:
             kept = stow(kept)
             enough = kept.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_k)
             kept = kept.join(enough.select("user_id"), "user_id", "left_semi")
-        return {"neighbours": stow(kept), "centred": centred, "user_means": means.select("user_id", "mean")}
+        return {"neighbours": stow(kept), "centred": centred, "user_means": rows.select("user_id", "mean")}
 
     def predict(self, pairs: DataFrame) -> DataFrame:
-        """``user_id, item_id, prediction``; an unknown user is predicted 0."""
+        """``user_id, item_id, prediction``; an unknown user is predicted 0.
+
+        Pairs that fit a broadcast are sent to the neighbours; only more of them are joined with what neighbours rated."""
         self.require_fitted()
         asked = pairs.select("user_id", "item_id")
         rated = self.centred.select(F.col("user_id").alias("other"), "item_id", "c")
-        met = asked.join(self.neighbours, "user_id").join(rated, ["other", "item_id"])
-        moved = met.groupBy("user_id", "item_id").agg((F.sum(F.col("similarity") * F.col("c")) / F.sum("similarity")).alias("d"))
+        if small_enough(asked.count(), 16):
+            sums = neighbour_sums(self.neighbours, rated, asked)
+            moved = sums.select("user_id", "item_id", (F.col("wc") / F.col("w")).alias("d"))
+        else:
+            met = asked.join(self.neighbours, "user_id").join(rated, ["other", "item_id"])
+            moved = met.groupBy("user_id", "item_id").agg((F.sum(F.col("similarity") * F.col("c")) / F.sum("similarity")).alias("d"))
         joined = asked.join(self.user_means, "user_id", "left").join(moved, ["user_id", "item_id"], "left")
         zero = F.lit(0.0)
         return joined.select("user_id", "item_id", (F.coalesce("mean", zero) + F.coalesce("d", zero)).alias("prediction"))

@@ -85,3 +85,46 @@ def test_pearson_shuffles_no_pairs(spark, random_matrix, monkeypatch):
         met = [(x, by[o][i] - mean[o]) for _, o, x in near.get(u, []) if i in by[o]]
         want = mean.get(u, 0.0) + (sum(x * c for x, c in met) / sum(x for x, _ in met) if met else 0.0)
         assert abs(r["prediction"] - want) < 1e-9
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_neighbour_sums_shuffle_no_neighbours(spark, block):
+    """Sums over neighbours with the asked item by brute force, repeated and unknown pairs included, in one block and in several."""
+    import numpy as np
+
+    from loomrec.operators.pairs import neighbour_sums
+
+    rng = np.random.default_rng(12)
+    near = {(u, o): float(rng.integers(1, 9)) for u in range(1, 30) for o in rng.choice(40, 6, replace=False).tolist()}
+    rated = {(o, i): float(rng.integers(-3, 4)) for o in range(40) for i in range(25) if rng.random() < 0.3}
+    asked = [(u, i) for u in range(0, 35, 2) for i in range(0, 30, 3)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    neighbours = frame([(*k, v) for k, v in near.items()], "user_id long, other long, similarity double")
+    values = frame([(*k, v) for k, v in rated.items()], "other long, item_id long, c double")
+    got = neighbour_sums(neighbours, values, frame(asked + asked[:9], "user_id long, item_id long"), block_bytes=block)
+    rows = got.collect()
+    want = {}
+    for u, i in asked:
+        met = [(w, rated[o, i]) for (v, o), w in near.items() if v == u and (o, i) in rated]
+        if met:
+            want[u, i] = (sum(w * c for w, c in met), sum(w for w, _ in met))
+    assert {(r["user_id"], r["item_id"]): (r["wc"], r["w"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_pearson_prediction_shuffles_sums_only(spark, random_matrix):
+    """What is exchanged is the asked pairs, means and sums: no join carries neighbours or their ratings."""
+    model = PearsonKNN(k=7).fit(random_matrix)
+    asked = spark.createDataFrame([(u, i) for u in range(1, 45) for i in range(1, 28)], "user_id long, item_id long")
+    got = model.predict(asked)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "MapInArrow" in plan
+    joined = asked.join(model.neighbours, "user_id").join(model.centred.withColumnRenamed("user_id", "other"), ["other", "item_id"])
+    want = {}
+    for r in joined.collect():
+        s = want.setdefault((r["user_id"], r["item_id"]), [0.0, 0.0])
+        s[0] += r["similarity"] * r["c"]
+        s[1] += r["similarity"]
+    mean = {r["user_id"]: r["mean"] for r in model.user_means.collect()}
+    for r in got.collect():
+        a, b = want.get((r["user_id"], r["item_id"]), (0.0, 1.0))
+        assert abs(r["prediction"] - mean.get(r["user_id"], 0.0) - a / b) < 1e-9
