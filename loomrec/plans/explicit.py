@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.operators.matrix import global_mean
-from loomrec.operators.pairs import both_ways, nearest_rows, neighbour_sums, pair_sums
+from loomrec.operators.nearest import NearRows
+from loomrec.operators.pairs import both_ways, neighbour_sums, pair_sums
 from loomrec.operators.topk import DIGITS
 from loomrec.plans.base import ExplicitModel
 from loomrec.scratch import discard, small_enough, spread, stow
@@ -124,21 +125,17 @@ class PearsonKNN(_Predictor):
         matrix = matrix.settled()
         require_dimensions(matrix, "PearsonKNN")
         require_finite(matrix, "PearsonKNN")
-        # One shuffle of the ratings by user; means, centred ratings and unit rows are read off its result.
-        entry = F.struct(F.col("item_id").cast("long").alias("g"), "value")
+        # One shuffle of the ratings by user; means, centred ratings and rows are read off its result.
+        entry = F.struct(F.col("item_id").cast("long").alias("g"), F.col("value").cast("double").alias("v"))
         size = F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")
         rows = spread(matrix.x, "user_id").groupBy("user_id").agg(F.avg("value").alias("mean"), size, F.array_sort(F.collect_list(entry)).alias("e"))
         rows = stow(rows)
-        centred = rows.select("user_id", "mean", F.inline("e")).select("user_id", F.col("g").alias("item_id"), (F.col("value") - F.col("mean")).alias("c"))
-        unit = F.transform("e", lambda e: F.struct(e["g"].alias("g"), ((e["value"] - F.col("mean")) / F.when(F.col("norm") > 0, F.col("norm"))).alias("v")))
-        lists = rows.select(F.col("user_id").cast("long").alias("m"), F.filter(unit, lambda e: e["v"] != 0).alias("e")).filter(F.size("e") > 0)
-        kept = nearest_rows(lists.select("m", F.inline("e")), "g", "m", "v", self.k, DIGITS, lists=lists)
-        kept = kept.select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "similarity")
-        if self.min_k > 1:
-            kept = stow(kept)
-            enough = kept.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= self.min_k)
-            kept = kept.join(enough.select("user_id"), "user_id", "left_semi")
-        return {"neighbours": stow(kept), "centred": centred, "user_means": rows.select("user_id", "mean")}
+        centred = rows.select("user_id", "mean", F.inline("e")).select("user_id", F.col("g").alias("item_id"), (F.col("v") - F.col("mean")).alias("c"))
+        scale = F.when(F.col("norm") > 0, 1 / F.col("norm")).otherwise(0.0).alias("scale")
+        near = NearRows(rows.select(F.col("user_id").cast("long").alias("m"), F.col("mean").alias("shift"), scale, "e"), self.k, DIGITS, least=self.min_k)
+        kept = near.neighbours().select(F.col("src").alias("user_id"), F.col("dst").alias("other"), "similarity")
+        kept._near = near
+        return {"neighbours": kept, "centred": centred, "user_means": rows.select("user_id", "mean")}
 
     def predict(self, pairs: DataFrame) -> DataFrame:
         """``user_id, item_id, prediction``; an unknown user is predicted 0.
@@ -147,8 +144,17 @@ class PearsonKNN(_Predictor):
         self.require_fitted()
         asked = pairs.select("user_id", "item_id")
         rated = self.centred.select(F.col("user_id").alias("other"), "item_id", "c")
+        near = getattr(self.neighbours, "_near", None)
         if small_enough(asked.count(), 16):
-            sums = neighbour_sums(self.neighbours, rated, asked)
+            asking = near.asking(asked) if near else None
+            if asking and len(near.blocks) == 1:
+                sums = near.sums(asking)
+            else:
+                neighbours = self.neighbours
+                if asking:
+                    names = neighbours.columns
+                    neighbours = stow(near.neighbours(asking).toDF(*names))
+                sums = neighbour_sums(neighbours, rated, asked)
             moved = sums.select("user_id", "item_id", (F.col("wc") / F.col("w")).alias("d"))
         else:
             met = asked.join(self.neighbours, "user_id").join(rated, ["other", "item_id"])
