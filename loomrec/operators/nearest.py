@@ -36,6 +36,15 @@ def _ranges(lo, n):
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _bit(h, u):
+    return 1 << (h % 32 * 2 + (u < 0))
+
+
+def _rest(squares, v):
+    """Lengths without the entries ``v``, rounded up by more than float32 and the difference may lose."""
+    return np.sqrt(np.maximum(squares - v * v, 0.0)) + 1e-6 * np.sqrt(squares)
+
+
 class _Block:
     """Members by group.  A value is (raw - shift of the member) * scale of the member."""
 
@@ -49,8 +58,10 @@ class _Block:
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         order, lo = np.argsort(keys), np.cumsum(counts) - counts
         self.keys, self.lo, self.n = keys[order], lo[order], counts[order]
-        # Hot lists by falling value, their entries by member and the length of a member's.
-        self.hot, self.lists, self.length = np.full(len(keys), -1), [], np.zeros(n)
+        # Hot lists by falling value, their entries by member, and of a member the lengths of those above and below 0 and a
+        # bit for each list and sign; two lists may share a bit.
+        self.hot, self.lists, self.signs = np.full(len(keys), -1), [], np.zeros(n, np.uint64)
+        self.above, self.below = np.zeros(n), np.zeros(n)
         held = ([np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0)])
         for p in np.flatnonzero(self.n > HOT):
             where = slice(self.lo[p], self.lo[p] + self.n[p])
@@ -58,15 +69,18 @@ class _Block:
             self.hot[p] = len(held[0]) - 1
             for column, x in zip(held, (a, np.full(len(a), len(held[0]) - 1, np.int32), v)):
                 column.append(x)
-            self.length[a] += v * v
-        for a, v in zip(held[0][1:], held[2][1:]):  # with the length of the member's other hot entries, rounded up
+            self.above[a] += np.maximum(v, 0.0) ** 2
+            self.below[a] += np.minimum(v, 0.0) ** 2
+            self.signs[a] |= np.where(v > 0, np.uint64(_bit(len(held[0]) - 2, 1)), np.uint64(_bit(len(held[0]) - 2, -1)))
+        for a, v in zip(held[0][1:], held[2][1:]):  # with the lengths of the member's other hot entries, rounded up
             order = np.argsort(-v, kind="stable")
-            rest = np.sqrt(np.maximum(self.length[a] - v * v, 0.0)) + 1e-7
-            self.lists.append((a[order], -v[order], rest[order]))
-        self.length = np.sqrt(self.length)
+            a, v = a[order], v[order]
+            rests = _rest(self.above[a], np.maximum(v, 0.0)), _rest(self.below[a], np.minimum(v, 0.0))
+            self.lists.append((a, -v, *(r.astype(np.float32) for r in rests)))
+        self.above, self.below = np.sqrt(self.above), np.sqrt(self.below)
         a, h, v = (np.concatenate(c) for c in held)
         order = np.argsort(a, kind="stable")
-        self.hot_first = np.r_[0, np.cumsum(np.bincount(a, minlength=n))]
+        self.hot_first = np.r_[0, np.cumsum(np.bincount(a, minlength=n))].astype(np.int32)
         self.hot_list, self.hot_value = h[order], v[order]
         self.sums, self.stamp, self.row = np.zeros(n), np.zeros(n, np.int64), np.zeros(len(self.lists))
 
@@ -87,21 +101,26 @@ class _Block:
         """Products of the present row with members ``a``: those of short lists are in ``sums``."""
         if not len(self.lists):
             return self.sums[a]
-        lo = self.hot_first[a]
-        n = self.hot_first[a + 1] - lo
-        e = _ranges(lo, n)
-        hot = np.bincount(np.repeat(np.arange(len(a)), n), self.row[self.hot_list[e]] * self.hot_value[e], len(a))
-        return self.sums[a] + hot
+        lo = self.hot_first.take(a)
+        n = self.hot_first.take(a + 1) - lo
+        of = np.repeat(np.arange(len(a)), n)
+        e = (lo - (np.cumsum(n) - n)).take(of) + np.arange(len(of))
+        return self.sums[a] + np.bincount(of, self.row.take(self.hot_list.take(e)) * self.hot_value.take(e), len(a))
 
-    def reaching(self, h, u, others, bound, least):
+    def reaching(self, h, u, above, below, signs, bound, least):
         """Members of hot list ``h`` whose value has the sign of ``u`` and a size of ``least`` or more, if their product can reach
-        ``bound`` with the rest of the row, of length ``others``, as near to theirs as can be."""
-        a, negative, rest = self.lists[h]
+        ``bound`` with the row's other hot entries: ``above`` and ``below`` 0 of these lengths and in the lists of ``signs``."""
+        a, negative, over, under = self.lists[h]
         if u > 0:
             reach = slice(0, min(np.searchsorted(negative, -least, side="right"), np.searchsorted(negative, 0.0)))
         else:
             reach = slice(max(np.searchsorted(negative, least), np.searchsorted(negative, 0.0, side="right")), len(a))
-        return a[reach][rest[reach] * others - negative[reach] * u >= bound]
+        a, own = a[reach], negative[reach] * -u
+        rest = over[reach] * above
+        rest += under[reach] * below
+        kept = np.flatnonzero(own + rest >= bound)
+        a, own = a.take(kept), own.take(kept)
+        return a[(own >= bound) | (self.signs.take(a) & signs != 0)]
 
     def seeds(self, h, u, k):
         a = self.lists[h][0]
@@ -109,7 +128,7 @@ class _Block:
 
     def best(self, own, touched, products, hot, u, k, digits, bound):
         """Members with the first ``k`` scores above 0, and their scores; ``bound`` is one that ``k`` members are known to reach."""
-        margin = 2 * 10.0**-digits
+        margin = 2 * 10.0**-digits + 1e-12 * bound
         np.add.at(self.sums, touched, products)
         mine = touched = self.once(touched)
         if len(hot):
@@ -124,12 +143,19 @@ class _Block:
             if len(s) >= k:
                 bound = max(bound, np.partition(s, len(s) - k)[len(s) - k])
             safe = bound - margin
-            length = np.sqrt(u @ u)
-            others = np.sqrt(np.maximum(length * length - u * u, 0.0)) + 1e-7
-            kept = touched[self.sums[touched] + length * self.length[touched] >= safe]
+            positive, negative = np.maximum(u, 0.0), np.minimum(u, 0.0)
+            above, below = positive @ positive, negative @ negative
+            most = self.above.take(touched) * np.sqrt(above) + self.below.take(touched) * np.sqrt(below)
+            kept = [touched[self.sums[touched] + most >= safe]]
             # Who shares only hot groups needs a value of this size in one of them.
             least = max(safe / np.abs(u).sum(), 0.0)
-            touched = self.once(np.concatenate([kept, *(self.reaching(h, x, o, safe, least) for h, x, o in zip(hot, u, others))]))
+            bits = [_bit(h, x) for h, x in zip(hot.tolist(), u.tolist())]
+            for i, rest in enumerate(zip(_rest(above, positive), _rest(below, negative))):
+                signs = 0
+                for bit in bits[:i] + bits[i + 1 :]:
+                    signs |= bit
+                kept.append(self.reaching(hot[i], u[i], *rest, np.uint64(signs), safe, least))
+            touched = self.once(np.concatenate(kept))
         touched = touched[touched != own]
         s = self.scores(touched) if len(hot) else self.sums[touched]
         self.sums[mine] = 0.0
