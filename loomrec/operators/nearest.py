@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,8 @@ class _Block:
             order = np.argsort(-v, kind="stable")
             a, v = a[order], v[order]
             rests = _rest(self.above[a], np.maximum(v, 0.0)), _rest(self.below[a], np.minimum(v, 0.0))
-            self.lists.append((a, -v, *(r.astype(np.float32) for r in rests)))
+            signs = np.count_nonzero(v > 0), np.count_nonzero(v >= 0)
+            self.lists.append((a, -v, *(r.astype(np.float32) for r in rests), *signs))
         self.above, self.below = np.sqrt(self.above), np.sqrt(self.below)
         a, h, v = (np.concatenate(c) for c in held)
         order = np.argsort(a, kind="stable")
@@ -110,15 +112,15 @@ class _Block:
     def reaching(self, h, u, above, below, signs, bound, least):
         """Members of hot list ``h`` whose value has the sign of ``u`` and a size of ``least`` or more, if their product can reach
         ``bound`` with the row's other hot entries: ``above`` and ``below`` 0 of these lengths and in the lists of ``signs``."""
-        a, negative, over, under = self.lists[h]
+        a, negative, over, under, positives, below_0 = self.lists[h]
         if u > 0:
-            reach = slice(0, min(np.searchsorted(negative, -least, side="right"), np.searchsorted(negative, 0.0)))
+            reach = slice(0, min(int(negative.searchsorted(-least, side="right")), positives))
         else:
-            reach = slice(max(np.searchsorted(negative, least), np.searchsorted(negative, 0.0, side="right")), len(a))
+            reach = slice(max(int(negative.searchsorted(least)), below_0), len(a))
         a, own = a[reach], negative[reach] * -u
         rest = over[reach] * above
         rest += under[reach] * below
-        kept = np.flatnonzero(own + rest >= bound)
+        kept = (own + rest >= bound).nonzero()[0]
         a, own = a.take(kept), own.take(kept)
         return a[(own >= bound) | (self.signs.take(a) & signs != 0)]
 
@@ -128,42 +130,44 @@ class _Block:
 
     def best(self, own, touched, products, hot, u, k, digits, bound):
         """Members with the first ``k`` scores above 0, and their scores; ``bound`` is one that ``k`` members are known to reach."""
-        margin = 2 * 10.0**-digits + 1e-12 * bound
+        margin = 2 * 10.0**-digits
         np.add.at(self.sums, touched, products)
         mine = touched = self.once(touched)
         if len(hot):
+            at = list(zip(hot.tolist(), u.tolist()))
             self.row[hot] = u
             first = touched
             if len(first) > 2 * k:
                 s = self.sums[first]
                 first = first[np.argpartition(s, len(s) - 2 * k)[-2 * k :]]
-            first = self.once(np.concatenate([first, *(self.seeds(h, x, SEEDS * k) for h, x in zip(hot, u))]))
+            first = self.once(np.concatenate([first, *(self.seeds(h, x, SEEDS * k) for h, x in at)]))
             first = first[first != own]
             s = self.scores(first)
             if len(s) >= k:
-                bound = max(bound, np.partition(s, len(s) - k)[len(s) - k])
-            safe = bound - margin
-            positive, negative = np.maximum(u, 0.0), np.minimum(u, 0.0)
-            above, below = positive @ positive, negative @ negative
-            most = self.above.take(touched) * np.sqrt(above) + self.below.take(touched) * np.sqrt(below)
-            kept = [touched[self.sums[touched] + most >= safe]]
+                bound = max(bound, float(np.partition(s, len(s) - k)[len(s) - k]))
+            safe = bound * (1 - 1e-12) - margin
+            above, below = sum(x * x for _, x in at if x > 0), sum(x * x for _, x in at if x < 0)
+            long, deep = sqrt(above), sqrt(below)
+            kept = [touched[self.sums[touched] + self.above.take(touched) * long + self.below.take(touched) * deep >= safe]]
             # Who shares only hot groups needs a value of this size in one of them.
-            least = max(safe / np.abs(u).sum(), 0.0)
-            bits = [_bit(h, x) for h, x in zip(hot.tolist(), u.tolist())]
-            for i, rest in enumerate(zip(_rest(above, positive), _rest(below, negative))):
+            least = max(safe / sum(abs(x) for _, x in at), 0.0)
+            bits = [_bit(h, x) for h, x in at]
+            for i, (h, x) in enumerate(at):
                 signs = 0
                 for bit in bits[:i] + bits[i + 1 :]:
                     signs |= bit
-                kept.append(self.reaching(hot[i], u[i], *rest, np.uint64(signs), safe, least))
+                over = sqrt(max(above - x * x, 0.0)) + 1e-6 * long if x > 0 else long
+                under = sqrt(max(below - x * x, 0.0)) + 1e-6 * deep if x < 0 else deep
+                kept.append(self.reaching(h, x, over, under, np.uint64(signs), safe, least))
             touched = self.once(np.concatenate(kept))
         touched = touched[touched != own]
         s = self.scores(touched) if len(hot) else self.sums[touched]
         self.sums[mine] = 0.0
         self.row[hot] = 0.0
         if len(s) > k:
-            bound = max(bound, np.partition(s, len(s) - k)[len(s) - k])
+            bound = max(bound, float(np.partition(s, len(s) - k)[len(s) - k]))
         # Sums that cancel to nothing are no positive similarity.
-        found = np.flatnonzero(s >= max(bound - margin, 4e-13))
+        found = (s >= max(bound * (1 - 1e-12) - margin, 4e-13)).nonzero()[0]
         return touched[found], s[found]
 
     def nearest(self, ids, off, groups, v, k, digits, before):
@@ -194,8 +198,9 @@ class _Block:
                 a, s = self.best(own[x], touched[t], products[t], hot_list[h], hot_u[h], k, digits, bound)
                 if old is not None:
                     a, s = np.concatenate([old[0], a]), np.concatenate([old[1], s])
-                positive = np.round(s, 12) > 0
-                a, s = a[positive], s[positive]
+                if len(s) and s.min() < 1e-9:
+                    positive = np.round(s, 12) > 0
+                    a, s = a[positive], s[positive]
                 best = np.lexsort((a, -np.round(s, digits)))[:k]  # members are in the order of their ids
                 yield a[best], s[best]
             r = to
