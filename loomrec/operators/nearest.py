@@ -49,13 +49,21 @@ def _rest(squares, v):
 class _Block:
     """Members by group.  A value is (raw - shift of the member) * scale of the member."""
 
-    def __init__(self, about, parts):
+    def __init__(self, about, parts, size):
         self.members, self.shift, self.scale, table = (_unpacked(a) for a in about)
         self.table = table if len(table) else None
         n = len(self.members)
-        keys, counts, at, raw = zip(*(map(_unpacked, part.value) for part in parts))
-        self.at, self.raw = np.concatenate(at), np.concatenate(raw)
-        del at, raw
+        keys, counts, done = [], [], 0
+        for i, part in enumerate(parts):  # one after the other, so that entries are held once
+            packed = part.value
+            vars(part).pop("_value", None)  # the worker has no more use for it
+            if not i:
+                self.at, self.raw = np.empty(size, np.int32), np.empty(size, packed[3][1])
+            keys.append(_unpacked(packed[0]))
+            counts.append(_unpacked(packed[1]))
+            where = slice(done, done + packed[2][2])
+            self.at[where], self.raw[where] = _unpacked(packed[2]), _unpacked(packed[3])
+            done = where.stop
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         order, lo = np.argsort(keys), np.cumsum(counts) - counts
         self.keys, self.lo, self.n = keys[order], lo[order], counts[order]
@@ -81,6 +89,7 @@ class _Block:
             self.lists.append((a, -v, *(r.astype(np.float32) for r in rests), *signs))
         self.above, self.below = np.sqrt(self.above), np.sqrt(self.below)
         a, h, v = (np.concatenate(c) for c in held)
+        del held
         order = np.argsort(a, kind="stable")
         self.hot_first = np.r_[0, np.cumsum(np.bincount(a, minlength=n))].astype(np.int32)
         self.hot_list, self.hot_value = h[order], v[order]
@@ -221,10 +230,10 @@ class _Block:
                 yield g, float(w @ self.centred(self.lo[p] + q[met])), float(w.sum())
 
 
-def _block(token, about, parts):
+def _block(token, about, parts, size):
     if token not in _held:
         _held.clear()
-        _held[token] = _Block(about.value, parts)
+        _held[token] = _Block(about.value, parts, size)
     return _held[token]
 
 
@@ -249,8 +258,8 @@ def _near(batches, about, blocks, k, digits, least, asked, summed):
     for part in (rows(b) for b in batches) if len(blocks) == 1 else [[rows(b) for b in batches]]:
         parts = [part] if len(blocks) == 1 else part
         near = [None] * len(parts)
-        for token, held in blocks:
-            block = _block(token, about, held)
+        for token, held, size in blocks:
+            block = _block(token, about, held, size)
             for i, (m, off, groups, v) in enumerate(parts):
                 near[i] = list(block.nearest(m, off, groups, v, k, digits, near[i])) if len(m) else []
         for (m, *_), found in zip(parts, near):
@@ -299,14 +308,15 @@ class NearRows:
         blocks = -(-total // (held or HELD_ENTRIES))
         parts = -(-total * 16 // (max(blocks, 1) * part_bytes))
         for b in range(blocks):
-            block = []
+            block, size = [], 0
             for p in range(parts):
                 at = F.pmod(F.xxhash64("m"), F.lit(blocks)) == b, F.pmod(F.xxhash64("g"), F.lit(parts)) == p
                 part = self._part(entries.filter(at[0] & at[1]), members, table)
                 if part:
                     block.append(share(part))
+                    size += part[2][2]
             if block:
-                self.blocks.append((uuid.uuid4().hex, block))
+                self.blocks.append((uuid.uuid4().hex, block, size))
 
     @staticmethod
     def _part(entries, members, table):

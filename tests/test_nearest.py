@@ -20,7 +20,7 @@ def block_of(a, parts=2):
         keys, counts = np.unique(g, return_counts=True)
         dealt.append(Shared([nearest._packed(x) for x in (keys, counts, m.astype(np.int32), np.searchsorted(table, a[m, g]).astype(np.uint8))]))
     about = [nearest._packed(x) for x in (np.arange(len(a)) * 3, shift, scale, table)]
-    return nearest._Block(about, dealt), np.where(a != 0, (a - shift[:, None]) * scale[:, None], 0)
+    return nearest._Block(about, dealt, np.count_nonzero(a)), np.where(a != 0, (a - shift[:, None]) * scale[:, None], 0)
 
 
 @pytest.mark.parametrize("hot", [5, 60, 10_000])
